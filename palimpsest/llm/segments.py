@@ -1,0 +1,104 @@
+"""Texts cut into segments that byte-level BPE encodes independently, so that each distinct one is encoded once a batch.
+
+A blank or a line feed between two characters that are no white space starts a new piece in the split pattern, so a text
+without two white-space characters side by side may be cut before each blank and around each line feed. Other texts,
+and those that hold a special token's string, go to the encoder whole.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+# Fixed value: Unicode white space, as a character class.
+WHITE = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Segments whose ids one worker keeps in each of two generations, and the longest that it keeps.
+KEPT, KEPT_CHARS = 300_000, 32
+
+
+class Recent:
+    """A map that keeps what was used lately: two generations of bounded size, the older one dropped when the younger
+    is full. Only speed depends on it."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
+def gathered(pool: np.ndarray, first: np.ndarray, n: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The runs pool[first : first + n] one after another; ``ends`` is the running sum of ``n``."""
+    if not len(ends):
+        return pool[:0]
+    kind = np.int32 if max(len(pool), int(ends[-1])) < 1 << 31 else np.int64
+    at = np.repeat((first - ends + n).astype(kind), n)
+    at += np.arange(len(at), dtype=kind)
+    return pool[at]
+
+
+class BatchEncoder:
+    """Encodes batches of texts; ``encode_many`` gives the ids of each of a list of strings as little-endian uint32."""
+
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], special: list[str]):
+        self.encode_many, self.special = encode_many, special
+        self.known = Recent(KEPT)
+
+    def _of(self, segments: list[str]) -> list[bytes]:
+        out = [*map(self.known.young.get, segments)]
+        missing = [i for i, x in enumerate(out) if x is None]
+        if missing:
+            keep, get = self.known.put, self.known.get
+            new = []
+            for i in missing:
+                if (x := get(segments[i])) is None:
+                    new.append(i)
+                else:
+                    out[i] = x
+            for i, ids in zip(new, self.encode_many([segments[i] for i in new]) if new else (), strict=True):
+                out[i] = ids
+                if len(segments[i]) <= KEPT_CHARS:
+                    keep(segments[i], ids)
+        return out
+
+    def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, end of each text in them); a null text has no ids."""
+        texts = pc.fill_null(texts, "")
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        whole = pc.or_(pc.match_substring_regex(texts, f"{WHITE}{WHITE}"), pc.match_substring(texts, "\x00"))
+        for s in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, s))
+        cut = pc.replace_substring(pc.replace_substring(texts, " ", "\x00 "), "\n", "\x00\n\x00")
+        lists = pc.split_pattern(pc.if_else(whole, texts, cut), "\x00")
+        if pc.any(pc.match_substring(pc.filter(texts, whole), "\x00")).as_py():
+            # a text with NUL itself: one segment, the text
+            lists = pa.array([[t] if w else x for t, w, x in zip(texts.to_pylist(), whole.to_pylist(), lists.to_pylist(), strict=True)], lists.type)
+        coded = lists.flatten().dictionary_encode()
+        values = self._of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter((len(v) // 4 for v in values), np.int64, len(values))
+        pool = np.frombuffer(b"".join(values), "<u4")
+        first = np.cumsum(size) - size
+        at = coded.indices.to_numpy()
+        n = size[at]
+        ends = np.cumsum(n)
+        ids = gathered(pool, first[at], n, ends)
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        return ids, np.r_[0, ends][bounds[1:]]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import rendered, token_count
 from palimpsest.operators.stream import CONVERSATIONS, Stream
+from palimpsest.session import ship
 
 #: (summary so far, evicted text) -> new summary.
 Summarizer = Callable[[str, str], str]
@@ -108,6 +109,7 @@ def _typed(rows: list[dict], schema: str, key: str, value: int) -> pd.DataFrame:
 
 
 def _messages(stream: DataFrame, s: Stream) -> DataFrame:
+    ship(stream.sparkSession)
     return stream.select(F.col(s.key).alias("key"), F.col(s.order).alias("ordinal"), F.col(s.role).alias("role"), rendered(s.role, F.coalesce(s.text, F.lit(""))).alias("line"))
 
 

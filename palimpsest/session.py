@@ -2,8 +2,33 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Applications whose executors have been sent this package.
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the Python workers, once per application, so that they can import it wherever the
+    driver was started."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(root):  # else the driver itself runs from a shipped copy
+        path = os.path.join(tempfile.mkdtemp(prefix="palimpsest-"), "palimpsest.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+            for folder, _, names in os.walk(root):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(root)))
+        spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
 
 def session(app: str = "palimpsest", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the engine expects; a cluster's own settings win where they are set."""
@@ -25,4 +50,5 @@ def session(app: str = "palimpsest", master: str | None = None, **conf: str) ->
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.session import ship
+
 #: Used only where the session names no shared folder, as in tests.
 DEFAULT_SHARED = "/tmp/checkpoints"
 
@@ -25,5 +27,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows that one Arrow batch carries to a Python worker, so that long texts stay within its memory."""
+    """Make the session ready for Python workers: they get this package's code, and one Arrow batch carries so few rows
+    that long texts stay within a worker's memory."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

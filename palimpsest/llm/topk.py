@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.storage import materialize
+from palimpsest.llm.storage import materialize, small_batches
 
 SCALE, K, LEAF = 1024, 10, 128
 #: Vectors of a shard, and queries that one group holds; a shard meets the queries block by block.
@@ -134,6 +134,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 100) -> DataFrame:
     ``vectors`` has vec_id and embedding; other columns are ignored. A repeated vec_id is a query each time it differs
     in its vector (equal rows are one query) and all its rows are candidates to others. An empty table gives no rows.
     """
+    small_batches(vectors.sparkSession, 10_000)
     rows = materialize(quantized(vectors), "vectors")
     n = rows.count()
     shards = max(1, -(-n // SHARD_ROWS))

@@ -287,6 +287,8 @@ def brute_contaminated(rows, items):
                 continue
             bag = lambda w: [tuple(w[k : k + size]) for k in range(len(w) - size + 1)]  # noqa: E731,B023
             ib = bag(iw)
+            if not set(ib) & set(bag(words)):
+                continue
             for p, g in enumerate(bag(words)):
                 for q, h in enumerate(ib):
                     if g != h:

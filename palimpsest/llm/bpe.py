@@ -24,13 +24,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.segments import BatchEncoder, gathered
+from palimpsest.llm.segments import PLAIN, BatchEncoder, gathered
 from palimpsest.llm.storage import small_batches
 
 # Fixed value: the split pattern of byte-level BPE (GPT-2).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# Fixed value: what may stand in a text that is encoded together with others: no white space but a first blank.
-PLAIN = regex.compile(r" ?[^\s<]+").fullmatch
 SEPARATOR = "\u0100"
 #: Pairs that one worker keeps; only speed depends on it.
 KEPT_PAIRS = 400_000

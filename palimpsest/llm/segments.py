@@ -12,6 +12,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
 # Fixed value: Unicode white space, as a character class.
 WHITE = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -19,27 +20,9 @@ WHITE = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 KEPT, KEPT_CHARS = 300_000, 32
 
 
-class Recent:
-    """A map that keeps what was used lately: two generations of bounded size, the older one dropped when the younger
-    is full. Only speed depends on it."""
-
-    def __init__(self, size: int):
-        self.size = size
-        self.young: dict = {}
-        self.old: dict = {}
-
-    def get(self, key):
-        found = self.young.get(key)
-        if found is None:
-            found = self.old.get(key)
-            if found is not None:
-                self.put(key, found)
-        return found
-
-    def put(self, key, value) -> None:
-        if len(self.young) >= self.size:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
+# Fixed value: what may stand in a text that is encoded joined to others by line feeds: no white space but a first blank,
+# and no special token.
+PLAIN = regex.compile(r" ?[^\s<]+").fullmatch
 
 
 def gathered(pool: np.ndarray, first: np.ndarray, n: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -57,23 +40,26 @@ class BatchEncoder:
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]], special: list[str]):
         self.encode_many, self.special = encode_many, special
-        self.known = Recent(KEPT)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _of(self, segments: list[str]) -> list[bytes]:
-        out = [*map(self.known.young.get, segments)]
+        """The ids of distinct segments. What was used lately is kept in two generations of bounded size; the older one
+        goes when the younger is full. Only speed depends on it."""
+        out = [*map(self.young.get, segments)]
         missing = [i for i, x in enumerate(out) if x is None]
         if missing:
-            keep, get = self.known.put, self.known.get
-            new = []
-            for i in missing:
-                if (x := get(segments[i])) is None:
-                    new.append(i)
-                else:
-                    out[i] = x
-            for i, ids in zip(new, self.encode_many([segments[i] for i in new]) if new else (), strict=True):
-                out[i] = ids
-                if len(segments[i]) <= KEPT_CHARS:
-                    keep(segments[i], ids)
+            names = [segments[i] for i in missing]
+            found = [*map(self.old.get, names)]
+            fresh = [s for s, x in zip(names, found, strict=True) if x is None]
+            if fresh:
+                made = iter(self.encode_many(fresh))
+                found = [next(made) if x is None else x for x in found]
+            for i, x in zip(missing, found, strict=True):
+                out[i] = x
+            if len(self.young) >= KEPT:
+                self.old, self.young = self.young, {}
+            self.young.update((s, x) for s, x in zip(names, found, strict=True) if len(s) <= KEPT_CHARS)
         return out
 
     def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +79,7 @@ class BatchEncoder:
             lists = pa.array([[t] if w else x for t, w, x in zip(texts.to_pylist(), whole.to_pylist(), lists.to_pylist(), strict=True)], lists.type)
         coded = lists.flatten().dictionary_encode()
         values = self._of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        size = np.fromiter((len(v) // 4 for v in values), np.int64, len(values))
+        size = np.array([*map(len, values)], np.int64) // 4
         pool = np.frombuffer(b"".join(values), "<u4")
         first = np.cumsum(size) - size
         at = coded.indices.to_numpy()

@@ -13,6 +13,7 @@ n_docs, n_tokens, low, high, root).
 from __future__ import annotations
 
 import hashlib
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,10 +25,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from palimpsest.llm.segments import BatchEncoder
+from palimpsest.llm.segments import PLAIN, BatchEncoder
 from palimpsest.llm.storage import shared_dir, small_batches
 
 END_ID = 0
+#: Segments that go to the library as one text.
+GROUP = 500
 #: Ids that the rolling hash sees, least and most ids of a chunk, and the bits that decide a cut (one in 256 places).
 WINDOW, LEAST, MOST, CUT_BITS = 16, 64, 1024, 8
 #: Recipes in a block of the Merkle tree.
@@ -38,13 +41,33 @@ FACTOR, BASE = np.uint32(2654435761), 0x01000193
 @lru_cache(maxsize=4)
 def library_encoder(path: str) -> BatchEncoder:
     """Encodes with the tokenizers library; what was encoded lately is kept by segment."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks already use the cores
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
+    between = tokenizer.encode("\n", add_special_tokens=False).ids
+
     def encode(texts: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        """Plain texts go to the library joined by line feeds, whose id then tells them apart; others go one by one."""
+        plain = [i for i, t in enumerate(texts) if PLAIN(t)] if len(between) == 1 else []
+        joined = set(plain)
+        groups = [plain[k : k + GROUP] for k in range(0, len(plain), GROUP)]
+        rest = [i for i in range(len(texts)) if i not in joined]
+        asked = ["\n".join([texts[i] for i in g]) for g in groups] + [texts[i] for i in rest]
+        found = [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(asked, add_special_tokens=False)]
+        out: list[bytes] = [b""] * len(texts)
+        for group, ids in zip(groups, found, strict=False):
+            cuts = np.flatnonzero(ids == between[0]).tolist()
+            if len(cuts) != len(group) - 1:
+                raise ValueError("a line feed isn't an id of its own in this tokenizer")
+            raw, start = ids.tobytes(), 0
+            for i, end in zip(group, [*cuts, len(ids)], strict=True):
+                out[i] = raw[4 * start : 4 * end]
+                start = end + 1
+        for i, ids in zip(rest, found[len(groups) :], strict=True):
+            out[i] = ids.tobytes()
+        return out
 
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     return BatchEncoder(encode, special)

@@ -389,6 +389,14 @@ def test_sampling(spark):
     assert rest.count() == 12 and rest.join(picked, "id").count() == 0
 
 
+def test_locate_prefix(spark):
+    long = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega end"
+    needles = spark.createDataFrame([(1, long), (2, "one two three"), (3, "tiny"), (4, None)], "n long, text string")
+    texts = spark.createDataFrame([(1, "x" + long.upper() + "y"), (2, long[:70]), (3, "none two three, tiny"), (4, None), (5, "aone two threeb")], "t long, text string")
+    got = {(r.n, r.t, r.length) for r in evaluate.locate_prefix(needles, texts, "n", "t").collect()}
+    assert got == {(1, 1, 120), (1, 2, 60), (2, 3, 120), (2, 5, 120), (3, 3, 120)}
+
+
 def test_diagnostics(spark):
     rows = [("q", 0, 2, 1, False), ("q", 0, 2, 2, True), ("q", 1, 1, 5, True), ("q", 1, 1, 6, True)]
     got = evaluate.evidence_diagnostics(spark.createDataFrame(rows, "question_id string, session_index long, date_rank long, message_index long, has_answer boolean")).first()

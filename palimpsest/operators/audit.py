@@ -65,8 +65,9 @@ def wrong_with_context(judged: DataFrame, *excluded: DataFrame) -> DataFrame:
 
 def review_rows(judged: DataFrame, samples: DataFrame, trajectories: DataFrame) -> DataFrame:
     """(question_id, payload): judgment, question and trajectory of each question as JSON, for a review page."""
-    joined = judged.join(samples, "question_id").join(trajectories, "question_id", "left")
-    return joined.select("question_id", F.to_json(F.struct(*[c for c in joined.columns if c != "question_id"])).alias("payload"))
+    part = lambda df, name: df.select("question_id", F.struct(*[c for c in df.columns if c != "question_id"]).alias(name))
+    joined = part(judged, "judged").join(part(samples, "sample"), "question_id").join(part(trajectories, "trajectory"), "question_id", "left")
+    return joined.select("question_id", F.to_json(F.struct("judged", "sample", "trajectory")).alias("payload"))
 
 
 def throughput(calls: DataFrame, seconds: Column) -> DataFrame:

@@ -30,8 +30,9 @@ from palimpsest.llm.storage import small_batches
 # Fixed value: the split pattern of byte-level BPE (GPT-2).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEPARATOR = "\u0100"
-#: Pairs that one worker keeps; only speed depends on it.
-KEPT_PAIRS = 400_000
+#: Pairs that one worker keeps, and segments in each of two generations; only speed depends on them. With these a worker
+#: stays small beside an executor's heap.
+KEPT_PAIRS, KEPT_SEGMENTS = 200_000, 150_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -84,7 +85,7 @@ class Codec:
         self.length = [len(t) for t in self.token]
         self.packed = [i.to_bytes(4, "little") for i in range(size)]
         self.size_of = np.array(self.length, np.int64)
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.sound = self._sound()
 
     def compatible(self, left: int, right: int) -> bool:
@@ -93,7 +94,7 @@ class Codec:
         Undo the merges of both tokens from the last to the first. At each moment the parts that face each other across
         the seam existed side by side; if their own merge has a rank below every merge undone so far (the left side
         wins ties, as merging runs from the left), it would have come first and the seam would not have lasted."""
-        pair = (left, right)
+        pair = left << 32 | right
         got = self.fits.get(pair)
         if got is None:
             got = self._lasting(left, right)
@@ -143,7 +144,7 @@ class Codec:
                 row = [packed[token]]
                 while at < stop:
                     after = longest[at]
-                    ok = fits.get((token, after))
+                    ok = fits.get(token << 32 | after)
                     if ok is None:
                         ok = self.compatible(token, after)
                     if not ok:
@@ -256,7 +257,7 @@ def codec(path: str) -> Codec:
 @lru_cache(maxsize=4)
 def batch_encoder(path: str) -> BatchEncoder:
     c = codec(path)
-    return BatchEncoder(c.encode_many, list(c.special))
+    return BatchEncoder(c.encode_many, list(c.special), KEPT_SEGMENTS)
 
 
 def _coded(path: str, with_content: bool):
@@ -282,6 +283,7 @@ def _coded(path: str, with_content: bool):
                 columns += [pa.array(lists, pa.list_(pa.int32())), pa.array(texts, pa.string())]
                 names += ["ids", "decoded"]
             yield pa.record_batch(columns, names=names)
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -293,7 +295,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, with_content: bool = False) -
     A null text counts as empty: no ids, digests of nothing. Whole texts of any length are encoded; repeated rows give
     repeated results; an empty table gives no rows. ``tokenizer`` is a path that every executor can open.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 500)
     more = ", ids array<int>, decoded string" if with_content else ""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         _coded(tokenizer, with_content),

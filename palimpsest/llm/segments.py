@@ -38,8 +38,8 @@ def gathered(pool: np.ndarray, first: np.ndarray, n: np.ndarray, ends: np.ndarra
 class BatchEncoder:
     """Encodes batches of texts; ``encode_many`` gives the ids of each of a list of strings as little-endian uint32."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], special: list[str]):
-        self.encode_many, self.special = encode_many, special
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], special: list[str], keep: int = KEPT):
+        self.encode_many, self.special, self.keep = encode_many, special, keep
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -57,7 +57,7 @@ class BatchEncoder:
                 found = [next(made) if x is None else x for x in found]
             for i, x in zip(missing, found, strict=True):
                 out[i] = x
-            if len(self.young) >= KEPT:
+            if len(self.young) >= self.keep:
                 self.old, self.young = self.young, {}
             self.young.update((s, x) for s, x in zip(names, found, strict=True) if len(s) <= KEPT_CHARS)
         return out

@@ -25,6 +25,25 @@ KEPT, KEPT_CHARS = 300_000, 32
 PLAIN = regex.compile(r" ?[^\s<]+").fullmatch
 
 
+#: In texts joined by line feeds: what makes one of them not PLAIN.
+NOT_PLAIN = regex.compile(r"[^\S\n ]|<|[^\n] |\n\n|^\n|\n$|^$|(?:^|\n) (?:\n|$)").search
+
+
+def plain_groups(texts: list[str], size: int) -> tuple[list[tuple[list[int], str]], list[int]]:
+    """Groups of up to ``size`` plain texts, as their places and the texts joined by line feeds; places of the others."""
+    groups, rest = [], []
+    for k in range(0, len(texts), size):
+        places = list(range(k, min(k + size, len(texts))))
+        joined = "\n".join(texts[k : k + size])
+        if NOT_PLAIN(joined):
+            rest += [i for i in places if not PLAIN(texts[i])]
+            places = [i for i in places if PLAIN(texts[i])]
+            joined = "\n".join([texts[i] for i in places])
+        if places:
+            groups.append((places, joined))
+    return groups, rest
+
+
 def gathered(pool: np.ndarray, first: np.ndarray, n: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The runs pool[first : first + n] one after another; ``ends`` is the running sum of ``n``."""
     if not len(ends):
@@ -59,7 +78,9 @@ class BatchEncoder:
                 out[i] = x
             if len(self.young) >= self.keep:
                 self.old, self.young = self.young, {}
-            self.young.update((s, x) for s, x in zip(names, found, strict=True) if len(s) <= KEPT_CHARS)
+            self.young.update(zip(names, found, strict=True))
+            for s in [s for s in names if len(s) > KEPT_CHARS]:
+                del self.young[s]
         return out
 
     def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:

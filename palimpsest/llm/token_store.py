@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from palimpsest.llm.segments import PLAIN, BatchEncoder
+from palimpsest.llm.segments import BatchEncoder, plain_groups
 from palimpsest.llm.storage import shared_dir, small_batches
 
 END_ID = 0
@@ -50,14 +50,11 @@ def library_encoder(path: str) -> BatchEncoder:
 
     def encode(texts: list[str]) -> list[bytes]:
         """Plain texts go to the library joined by line feeds, whose id then tells them apart; others go one by one."""
-        plain = [i for i, t in enumerate(texts) if PLAIN(t)] if len(between) == 1 else []
-        joined = set(plain)
-        groups = [plain[k : k + GROUP] for k in range(0, len(plain), GROUP)]
-        rest = [i for i in range(len(texts)) if i not in joined]
-        asked = ["\n".join([texts[i] for i in g]) for g in groups] + [texts[i] for i in rest]
+        groups, rest = plain_groups(texts, GROUP) if len(between) == 1 else ([], list(range(len(texts))))
+        asked = [joined for _, joined in groups] + [texts[i] for i in rest]
         found = [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(asked, add_special_tokens=False)]
         out: list[bytes] = [b""] * len(texts)
-        for group, ids in zip(groups, found, strict=False):
+        for (group, _), ids in zip(groups, found, strict=False):
             cuts = np.flatnonzero(ids == between[0]).tolist()
             if len(cuts) != len(group) - 1:
                 raise ValueError("a line feed isn't an id of its own in this tokenizer")
@@ -182,7 +179,7 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_store(docs: DataFrame, tokenizer: str, path: str | None = None) -> str:
     """Encode ``docs`` (doc_id, text), write the store and return its path (under the shared folder by default)."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 2000)
     path = path or f"{shared_dir(spark)}/palimpsest-tokens-{uuid.uuid4().hex}"
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_chunked(tokenizer), _ROWS_SQL)

@@ -182,6 +182,8 @@ def near_duplicates(docs: DataFrame, chain_key: int | None = None) -> DataFrame:
     lowest = linked.groupBy("component").agg(F.min("first").alias("component_id"))
     by_print = linked.join(lowest, "component").select(F.col("node").alias("fp"), "component_id")
     classes = first.join(by_print, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # written first, so that both sides of the join come from exchanges, whose large partitions Spark can split
+    classes = materialize(classes, "fp-classes")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 

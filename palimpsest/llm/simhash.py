@@ -195,7 +195,8 @@ def representatives(docs: DataFrame) -> DataFrame:
     keep = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
     counts = materialize(keep.groupBy("doc_id").agg(F.count("*").alias("copies")), "keep")
     on = docs["doc_id"].cast("long").eqNullSafe(counts["doc_id"])
-    once = docs.join(counts.filter("copies = 1 or doc_id is null"), on, "left_semi")
+    # merged at every size: the kept ids grow with the documents, so they are never to be broadcast
+    once = docs.join(counts.filter("copies = 1 or doc_id is null").hint("merge"), on, "left_semi")
     again = counts.filter("copies > 1 and doc_id is not null")
     if again.isEmpty():
         return once

@@ -187,12 +187,13 @@ def near_duplicates(docs: DataFrame, chain_key: int | None = None) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of each near-duplicate component, all columns kept.
 
-    Of rows that repeat a kept doc_id one stays. Rows whose component has only null doc_ids stay, as nothing tells
+    ``groups`` (doc_id, component_id) names the components; they are those of ``near_duplicates`` by default. Of rows that repeat a kept doc_id one stays. Rows whose component has only null doc_ids stay, as nothing tells
     them apart. The texts move once, by doc_id."""
-    keep = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    groups = near_duplicates(docs) if groups is None else groups
+    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
     counts = materialize(keep.groupBy("doc_id").agg(F.count("*").alias("copies")), "keep")
     on = docs["doc_id"].cast("long").eqNullSafe(counts["doc_id"])
     # merged at every size: the kept ids grow with the documents, so they are never to be broadcast

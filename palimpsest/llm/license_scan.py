@@ -1,9 +1,9 @@
 """Licence scan by a positional rare-token index.
 
-Postings hold, for every word of the licence templates, (template, position). Of each file, the licence words with the
-highest IDF over the corpus are looked up; each hit votes for the offset (file position - template position) of its
-template, so hits that agree on relative positions add up. An offset with enough of the template's weight is a match if
-all mandatory key phrases of that template stand in the aligned part of the file.
+Postings hold (template, position) for each template's rarest words, by IDF over the corpus: so many that the others
+have less weight than a match needs. So every match has one of them in its place, whatever else the file holds. All their
+places in a file are looked up; each hit names an offset (file position - template position). An offset with enough of the
+template's weight is a match if all mandatory key phrases of that template stand in the aligned part of the file.
 
 The base phrases use the same index: a phrase is looked up by its rarest word and its other words are verified at their
 relative positions, at every place.
@@ -47,8 +47,8 @@ TEMPLATES = {
     "proprietary": ("copyright all rights reserved", ("all rights reserved",)),
     "unlicense": ("this is free and unencumbered software released into the public domain", ("unencumbered software",)),
 }
-#: Highest-IDF licence words looked up per file (all their places), and the share of a template's weight that must align.
-RARE_WORDS, MIN_SHARE = 12, 0.6
+#: The share of a template's weight that must align.
+MIN_SHARE = 0.6
 
 
 def _words(phrase: str) -> tuple[bytes, ...]:
@@ -91,10 +91,15 @@ class Index:
         self.templates = {k: _words(t) for k, (t, _) in TEMPLATES.items()}
         self.required = {k: [_words(p) for p in ps] for k, (_, ps) in TEMPLATES.items()}
         self.postings: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
-        for label, words in self.templates.items():
-            for at, w in enumerate(words):
-                self.postings[w].append((label, at))
         self.weight = {k: sum(self.idf[w] for w in words) for k, words in self.templates.items()}
+        for label, words in self.templates.items():
+            rest = self.weight[label]
+            for at in sorted(range(len(words)), key=lambda i: (-self.idf[words[i]], i)):
+                # what is left can't make a match by itself; the margin covers rounding
+                if rest < (MIN_SHARE - 1e-9) * self.weight[label]:
+                    break
+                self.postings[words[at]].append((label, at))
+                rest -= self.idf[words[at]]
         self.phrases = []
         for phrase, label in BASE_PHRASES.items():
             words = _words(phrase)
@@ -114,16 +119,9 @@ class Index:
                 start = i - rare
                 if start >= 0 and tuple(words[start : start + len(phrase)]) == phrase:
                     base.append((label, start))
-        votes: dict[tuple[str, int], float] = defaultdict(float)
-        for w in sorted(places, key=lambda w: (-idf[w], w))[:RARE_WORDS]:
-            for label, at in self.postings.get(w, ()):
-                for i in places[w]:
-                    votes[label, i - at] += idf[w]
+        offsets = {(label, i - at) for w, found in places.items() for label, at in self.postings.get(w, ()) for i in found}
         best: dict[str, float] = {}
-        for (label, offset), vote in votes.items():
-            # the rare words alone must carry half of what is asked for before the rest is compared
-            if vote < MIN_SHARE / 2 * self.weight[label]:
-                continue
+        for label, offset in offsets:
             template = self.templates[label]
             share = sum(idf[w] for k, w in enumerate(template) if 0 <= offset + k < len(words) and words[offset + k] == w)
             share /= self.weight[label]

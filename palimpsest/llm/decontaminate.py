@@ -1,8 +1,9 @@
 """Benchmark decontamination by SimHash over item-sized windows. DataFrame functions only.
 
 1. Words are maximal runs of letters and digits, lower-cased; shingles are five words (all words, if an item has fewer).
-2. A window of a document has as many words as an item. Windows that share no shingle with any item have similarity 0,
-   so windows are taken only where a document's shingle meets an item's, at the start that lines the two up.
+2. A window of a document has as many words as an item. Windows that share no shingle with an item have similarity 0, so
+   windows are taken at every start whose window holds a shingle of the item, if the shingles it shares have the weight
+   that the similarity needs at least.
 3. Equal windows are one class. Window classes and items get 64-bit SimHashes, weighted by shingle weight.
 4. Multi-index: RADIUS + 1 blocks of bits; two fingerprints within RADIUS agree in one block at least (pigeonhole), so
    equal blocks give all candidates, of which those within RADIUS in all 64 bits stay.
@@ -102,17 +103,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     tokenized = docs.select(F.col("doc_id").cast("long"), words(F.col("text").cast("string")).alias("tokens"))
     met = []
     for size in sizes:
-        postings = _places(classes.filter(F.col("size") == size), size, "item", "n_words")
-        postings = postings.select("h", "item", "n_words", F.col("p").alias("q"))
+        postings = _places(classes.filter(F.col("size") == size), size, "item", "n_words", "tokens")
+        shingle = F.array_join(F.slice("tokens", F.col("p") + 1, size), " ")
+        postings = postings.select("h", "item", "n_words", _weight(shingle).alias("w")).dropDuplicates(["h", "item"])
         found = _places(tokenized, size, "doc_id", "tokens").join(F.broadcast(postings) if small else postings, "h")
-        last = F.greatest(F.lit(0), F.size("tokens") - F.col("n_words"))
-        start = F.least(F.greatest(F.lit(0), F.col("p") - F.col("q")), last)
+        first = F.greatest(F.lit(0), F.col("p") - F.col("n_words") + size)
+        last = F.least(F.col("p"), F.greatest(F.lit(0), F.size("tokens") - F.col("n_words")))
+        around = F.slice("tokens", first + 1, last - first + F.col("n_words"))
         met.append(
-            found.select("doc_id", "item", start.alias("start"), F.slice("tokens", start + 1, F.col("n_words")).alias("window"), F.lit(size).alias("size"))
-        )
-    windows = reduce(DataFrame.unionByName, met)
+            found.select(
+                "doc_id", F.xxhash64("tokens").alias("text"), "item", "n_words", F.lit(size).alias("size"), "p", "w",
+                first.alias("first"), last.alias("last"), around.alias("around"),
+            )
+        )
+    place = ["doc_id", "text", "item", "p"]
+    hits = materialize(reduce(DataFrame.unionByName, met).dropDuplicates(place), "hits")
+    # 2c / (c + item's weight) is the most that a window can reach whose shared shingles weigh c
+    least = classes.select("item", (F.aggregate("shingles", F.lit(0), lambda x, y: x + _weight(y)) * similarity / (2 - similarity)).alias("least"))
+    held = hits.select("doc_id", "text", "item", "p", "w", F.explode(F.sequence("first", "last")).alias("start"))
+    held = held.groupBy("doc_id", "text", "item", "start").agg(F.sum("w").alias("w"), F.min("p").alias("p"))
+    held = held.join(least, "item").filter(F.col("w") >= F.col("least") - 1e-6)
+    held = held.select(*[F.col(c).alias(f"_{c}") for c in place], "start")
+    on = reduce(Column.__and__, [hits[c].eqNullSafe(held[f"_{c}"]) for c in place])
+    window = F.slice("around", F.col("start") - F.col("first") + 1, F.col("n_words"))
+    windows = hits.join(held, on).select("doc_id", "start", "item", "size", window.alias("window"))
     # one row per document, place and window; then equal windows are one class
-    windows = windows.select("doc_id", "start", "item", "size", F.xxhash64("window", "size").alias("win"), "window").dropDuplicates(["doc_id", "start", "win", "item"])
+    windows = windows.withColumn("win", F.xxhash64("window", "size")).dropDuplicates(["doc_id", "start", "win", "item"])
     windows = materialize(windows, "windows")
     texts = windows.select("win", "size", "window").dropDuplicates(["win"])
     texts = texts.select("win", _shingles(F.col("window"), F.least(F.col("size"), F.size("window"))).alias("shingles"))

@@ -3,8 +3,9 @@
 Base spans (e-mail, IP, card, phone) seed the bootstrapping. Every base span and every other identifier-like string is
 an instance; the words around it are its lexical patterns (the two words before; the word before and the word after).
 Spark scores the graph of patterns and instances in rounds: a pattern's confidence for a kind is the sum of its
-instances' confidences over one more than their number; an instance that no seed covers gets the noisy-or of its
-reliable patterns. After the last round, reliable patterns mark the unseen identifiers at their places, if these have
+instances' confidences over one more than the evidence: what speaks for any kind, and the instances without a kind that
+don't have the characters of this one. Unseen instances of a fitting form count neither way. An instance that no seed
+covers gets the noisy-or of its reliable patterns, for kinds it has the characters of. After the last round, reliable patterns mark the unseen identifiers at their places, if these have
 the characters of that kind.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.storage import materialize, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of scoring; confidence that makes a pattern reliable (with one in the denominator, it needs 5 instances).
+#: Rounds of scoring; confidence that makes a pattern reliable (with one in the denominator, it needs 4 seeds).
 ROUNDS, RELIABLE = 3, 0.8
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -139,17 +140,18 @@ def reliable_patterns(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, kind, confidence) of the patterns that are reliable after the last round, each with its best kind."""
     seen = scanned.select(F.explode("found").alias("f")).select("f.kind", "f.instance", F.explode("f.patterns").alias("pattern"))
     seeds = [F.max((F.col("kind") == k).cast("double")).alias(k) for k in KINDS]
-    edges = materialize(seen.groupBy("pattern", "instance").agg(*[F.coalesce(s, F.lit(0.0)).alias(k) for s, k in zip(seeds, KINDS, strict=True)]), "pii-edges")
+    edges = materialize(seen.groupBy("pattern", "instance").agg(*[F.coalesce(s, F.lit(0.0)).alias(k) for s, k in zip(seeds, KINDS, strict=True)]).withColumns({f"fit_{k}": _has_form(F.lit(k), F.col("instance")) for k in KINDS}), "pii-edges")
     known = edges.groupBy("instance").agg(*[F.max(k).alias(k) for k in KINDS])
     best = F.greatest(*KINDS)
     for _ in range(rounds):
-        by_pattern = edges.select("pattern", "instance").join(known, "instance").groupBy("pattern")
-        scored = by_pattern.agg(*[(F.sum(k) / (F.count("*") + 1)).alias(k) for k in KINDS]).filter(best >= RELIABLE)
+        by_pattern = edges.drop(*KINDS).join(known, "instance").groupBy("pattern")
+        evidence = {k: F.sum(F.when(best > 0, best).otherwise((~F.col(f"fit_{k}")).cast("double"))) for k in KINDS}
+        scored = by_pattern.agg(*[(F.sum(k) / (evidence[k] + 1)).alias(k) for k in KINDS]).filter(best >= RELIABLE)
         scored = materialize(scored, "pii-patterns")
         doubt = [F.sum(F.log1p(-F.least(F.col(f"s_{k}"), F.lit(0.999)))).alias(f"d_{k}") for k in KINDS]
         renamed = scored.select("pattern", *[F.when(F.col(k) >= RELIABLE, F.col(k)).otherwise(0.0).alias(f"s_{k}") for k in KINDS])
         told = edges.join(renamed, "pattern").groupBy("instance").agg(*doubt)
-        raised = [F.greatest(F.col(k), F.when(best < 1, 1 - F.exp(f"d_{k}")).otherwise(0.0)).alias(k) for k in KINDS]
+        raised = [F.greatest(F.col(k), F.when((best < 1) & _has_form(F.lit(k), F.col("instance")), 1 - F.exp(f"d_{k}")).otherwise(0.0)).alias(k) for k in KINDS]
         # a seed keeps its own kinds only
         own = edges.groupBy("instance").agg(*[F.max(k).alias(k) for k in KINDS])
         known = materialize(own.join(told, "instance", "left").select("instance", *[F.coalesce(r, F.col(k)).alias(k) for r, k in zip(raised, KINDS, strict=True)]), "pii-instances")

@@ -1,10 +1,13 @@
 """Byte-level BPE by backtracking, decoding by an offset table.
 
-Encoding: an Aho-Corasick automaton over the vocabulary gives, for each position of a piece, the longest token that
-starts there. The encoder takes longest tokens, but only if the pair with the token before is compatible, that is if
-merging the two tokens' bytes by rank would give back exactly these two; else it falls back to the next shorter token
-that is a prefix, and else it drops the token before. Positions from which no compatible continuation exists are never
-entered again, so the work is linear in the piece. Pair compatibility is kept in a table as it is found.
+Encoding: an Aho-Corasick automaton over the vocabulary gives, for each place of a piece, the longest token that starts
+there. The encoder takes longest tokens, but only if the pair with the token before is compatible, that is if merging the
+two tokens' bytes by rank would give back exactly these two; else it falls back to the next shorter token that is a
+prefix, and else it drops the token before. Places from which no compatible continuation exists are never entered again,
+so the work is linear in the piece. Pair compatibility is kept in a table as it is found.
+
+A batch's distinct pieces are encoded side by side: the automaton reads one byte of every piece at a time, and every piece
+takes one step of the search at a time.
 
 Decoding: one byte string of all tokens and a table of offsets into it; a gather builds the text.
 """
@@ -15,24 +18,18 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.segments import PLAIN, BatchEncoder, gathered
+from palimpsest.llm.pieces import by_bytes, cut, gathered, spread
 from palimpsest.llm.storage import small_batches
 
-# Fixed value: the split pattern of byte-level BPE (GPT-2).
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SEPARATOR = "\u0100"
-#: Pairs that one worker keeps, and segments in each of two generations; only speed depends on them. With these a worker
-#: stays small beside an executor's heap.
-KEPT_PAIRS, KEPT_SEGMENTS = 200_000, 150_000
+#: Bytes of text that are encoded together, places of the pair table, bytes that one lane of the automaton starts in, and
+#: the number of unfinished pieces below which they are finished one by one. Only speed and memory depend on these.
+TOGETHER, TABLE_BITS, LANE, FEW = 1 << 22, 18, 64, 40
 
 
 def byte_letters() -> dict[str, int]:
@@ -43,6 +40,116 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _mixed(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class Automaton:
+    """Aho-Corasick over byte strings. A node's children have consecutive numbers in the order of their bytes, so a bit
+    per byte and a count of lower bits name the child."""
+
+    def __init__(self, tokens: list[bytes]):
+        """``tokens`` by id; empty ones are no tokens."""
+        size = np.array([len(t) for t in tokens], np.int64)
+        blob = np.frombuffer(b"".join(tokens), np.uint8)
+        first = np.cumsum(size) - size
+        node = np.zeros(len(tokens), np.int64)
+        edges, self.levels, count = [], [np.zeros(1, np.int64)], 1
+        for depth in range(int(size.max(initial=0))):
+            here = np.flatnonzero(size > depth)
+            keys, inverse = np.unique(node[here] << 8 | blob[first[here] + depth], return_inverse=True)
+            node[here] = count + inverse
+            edges.append(keys)
+            self.levels.append(np.arange(count, count + len(keys)))
+            count += len(keys)
+        self.bits = np.zeros(count * 4, np.uint64)
+        self.child = np.zeros(count * 4, np.int32)
+        at = 1
+        for keys in edges:
+            parent, byte = keys >> 8, keys & 255
+            np.bitwise_or.at(self.bits, parent * 4 + (byte >> 6), np.uint64(1) << (byte & 63).astype(np.uint64))
+            word = parent * 4 + (byte >> 6)
+            new = np.r_[True, word[1:] != word[:-1]]
+            self.child[word[new]] = at + np.flatnonzero(new)
+            at += len(keys)
+        #: the longest token that ends at a node, and the node of the next shorter one
+        self.depth = np.zeros(count, np.int32)
+        self.fail = np.zeros(count, np.int32)
+        self.token = np.full(count, -1, np.int32)
+        self.token[node[size > 0]] = np.flatnonzero(size > 0)
+        self.own = self.token.copy()
+        self.next = np.zeros(count, np.int32)
+        for depth, keys in enumerate(edges):
+            nodes, parent, byte = self.levels[depth + 1], keys >> 8, (keys & 255).astype(np.uint8)
+            self.depth[nodes] = depth + 1
+            if depth:
+                self.fail[nodes] = self.step(self.fail[parent], byte)
+            back = self.fail[nodes]
+            mine = self.own[nodes] >= 0
+            self.next[nodes] = np.where(self.token[back] >= 0, np.where(self.own[back] >= 0, back, self.next[back]), 0)
+            self.token[nodes] = np.where(mine, self.own[nodes], self.token[back])
+        self.levels = None
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The node after reading one byte from each state."""
+        state = state.astype(np.int32)
+        out = np.zeros(len(state), np.int32)
+        left, byte = np.arange(len(state)), byte.astype(np.int32)
+        high, low = byte >> 6, (byte & 63).astype(np.uint64)
+        while len(left):
+            word = state * 4 + high
+            bits = self.bits[word] >> np.uint64(0)
+            hit = ((bits >> low) & np.uint64(1)).astype(bool)
+            found = np.flatnonzero(hit)
+            below = bits[found] & ((np.uint64(1) << low[found]) - np.uint64(1))
+            out[left[found]] = self.child[word[found]] + np.bitwise_count(below)
+            rest = np.flatnonzero(~hit & (state > 0))
+            left, state, high, low = left[rest], self.fail[state[rest]], high[rest], low[rest]
+        return out
+
+    def longest(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """For each byte of ``data`` the longest token that starts there and stays inside its piece, else -1."""
+        out = np.full(len(data) + 1, -1, np.int32)
+        begin, stop = offsets[:-1], offsets[1:]
+        lanes = -(-(stop - begin) // LANE)
+        if lanes.max(initial=0) > 1:
+            whole = np.repeat(np.arange(len(begin)), lanes)
+            k = np.arange(len(whole)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+            begin, stop = begin[whole] + k * LANE, stop[whole]
+        place, limit = begin.copy(), np.minimum(begin + LANE, stop)
+        keep = place < stop
+        place, limit, stop = place[keep], limit[keep], stop[keep]
+        state = np.zeros(len(place), np.int32)
+        while len(place):
+            state = self.step(state, data[place])
+            # later ends come later, so of the tokens with one start the longest stays
+            at, node, own, bound = place, state, self.token[state], limit
+            shorter = False
+            while len(at):
+                size = self.depth[node] if shorter else self.size_at(node)
+                start = at - size + 1
+                ok = (own >= 0) & (start < bound)
+                out[start[ok]] = own[ok]
+                more = np.flatnonzero(self.after(node, shorter) > 0)
+                node = self.after(node, shorter)[more]
+                at, bound, own, shorter = at[more], bound[more], self.own[node], True
+            place = place + 1
+            # a lane goes on beyond its bytes only while a token that starts in them may
+            keep = np.flatnonzero((place < stop) & (place - self.depth[state] < limit))
+            place, limit, stop, state = place[keep], limit[keep], stop[keep], state[keep]
+        return out
+
+    def size_at(self, node: np.ndarray) -> np.ndarray:
+        """The length of the longest token that ends at each node."""
+        return np.where(self.own[node] >= 0, self.depth[node], self.depth[self.next[node]])
+
+    def after(self, node: np.ndarray, shorter: bool) -> np.ndarray:
+        """The node of the token after the longest one."""
+        if shorter:
+            return self.next[node]
+        return np.where(self.own[node] >= 0, self.next[node], self.next[self.next[node]])
+
+
 class Codec:
     """Encoder and decoder for one byte-level BPE file of the tokenizers library."""
 
@@ -53,180 +160,211 @@ class Codec:
         as_bytes = {t: bytes(letters[c] for c in t) for t in spec["model"]["vocab"]}
         vocab = {as_bytes[t]: i for t, i in spec["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.pieces = regex.compile(PIECES).findall
 
         size = 1 + max([*vocab.values(), *self.special.values()])
-        self.token = [b""] * size
+        token = [b""] * size
         for t, i in vocab.items():
-            self.token[i] = t
-        shown = list(self.token)
+            token[i] = t
+        shown = list(token)
         for t, i in self.special.items():
             shown[i] = t.encode()
         self.blob = np.frombuffer(b"".join(shown), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in shown])]).astype(np.int64)
+        self.length = np.array([len(t) for t in token], np.int64)
+        self.automaton = Automaton(token)
+        self.shorter = np.full(size, -1, np.int64)
+        for t, i in vocab.items():
+            self.shorter[i] = next((vocab[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in vocab), -1)
 
-        # rank of each merge by the pair it joins, and the pair and rank that a token comes from
-        self.rank: dict[tuple[int, int], int] = {}
-        self.parts: list[tuple[int, int, int] | None] = [None] * size
+        # each merge's rank by the pair it joins; the rank and the pair that a token comes from
+        self.made, self.left, self.right = (np.full(size, -1, np.int64) for _ in range(3))
+        pairs, ranks = [], []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = (vocab[as_bytes[x]] for x in (pair if isinstance(pair, list) else pair.split(" ")))
-            self.rank[a, b] = rank
-            if self.parts[whole := vocab[self.token[a] + self.token[b]]] is None:
-                self.parts[whole] = (rank, a, b)
-
-        self.automaton = ahocorasick.Automaton()
-        for t, i in vocab.items():
-            self.automaton.add_word(t.decode("latin-1"), i)
-        self.automaton.make_automaton()
-        self.shorter = [-1] * size
-        for t, i in vocab.items():
-            self.shorter[i] = next((vocab[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in vocab), -1)
-        self.length = [len(t) for t in self.token]
-        self.packed = [i.to_bytes(4, "little") for i in range(size)]
-        self.size_of = np.array(self.length, np.int64)
-        self.fits: dict[int, bool] = {}
+            pairs.append(a << 32 | b)
+            ranks.append(rank)
+            if self.made[whole := vocab[token[a] + token[b]]] < 0:
+                self.made[whole], self.left[whole], self.right[whole] = rank, a, b
+        self._index(np.array(pairs, np.int64), np.array(ranks, np.int64))
+        self.pairs = np.full(1 << TABLE_BITS, -1, np.int64)
+        self.fits = np.zeros(1 << TABLE_BITS, bool)
         self.sound = self._sound()
 
-    def compatible(self, left: int, right: int) -> bool:
-        """Whether the bytes of both tokens together encode to just these two.
+    def _index(self, pairs: np.ndarray, ranks: np.ndarray) -> None:
+        """An open hash table of the merges; of a pair that is listed twice the last rank holds."""
+        self.bits = max(4, int(len(pairs) * 6).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int64)
+        self.ranks = np.full(1 << self.bits, -1, np.int64)
+        last = dict(zip(pairs.tolist(), ranks.tolist(), strict=True))
+        left, value = np.fromiter(last, np.int64, len(last)), np.fromiter(last.values(), np.int64, len(last))
+        at, self.probes = _mixed(left, self.bits), 0
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            done = self.slots[at] == left
+            self.ranks[at[done]] = value[done]
+            left, value, at = left[~done], value[~done], (at[~done] + 1) & ((1 << self.bits) - 1)
+            self.probes += 1
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the merge that joins each pair, else -1."""
+        pair = left << 32 | right
+        at, out = _mixed(pair, self.bits), np.full(len(pair), -1, np.int64)
+        todo = np.arange(len(pair))
+        for _ in range(self.probes):
+            seen = self.slots[at]
+            hit = seen == pair
+            out[todo[hit]] = self.ranks[at[hit]]
+            rest = np.flatnonzero(~hit & (seen >= 0))
+            if not len(rest):
+                break
+            todo, pair, at = todo[rest], pair[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether the bytes of both tokens together encode to just these two, for each pair."""
+        pair = left << 32 | right
+        at = _mixed(pair, TABLE_BITS)
+        out = self.fits[at]
+        new = np.flatnonzero(self.pairs[at] != pair)
+        if len(new):
+            asked, inverse = np.unique(pair[new], return_inverse=True)
+            found = self._lasting(asked >> 32, asked & 0xFFFFFFFF)
+            out[new] = found[inverse]
+            slot = _mixed(asked, TABLE_BITS)
+            self.pairs[slot] = asked
+            # of several pairs in one place the one that was written last stays, with its own answer
+            stays = self.pairs[slot] == asked
+            self.fits[slot[stays]] = found[stays]
+        return out
+
+    def _lasting(self, left: np.ndarray, right: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+        """Whether the seam between two tokens lasts while their bytes are merged.
 
         Undo the merges of both tokens from the last to the first. At each moment the parts that face each other across
         the seam existed side by side; if their own merge has a rank below every merge undone so far (the left side
-        wins ties, as merging runs from the left), it would have come first and the seam would not have lasted."""
-        pair = left << 32 | right
-        got = self.fits.get(pair)
-        if got is None:
-            got = self._lasting(left, right)
-            if len(self.fits) >= KEPT_PAIRS:
-                self.fits.clear()
-            self.fits[pair] = got
-        return got
-
-    def _lasting(self, left: int, right: int, own: int | None = None) -> bool:
-        """own: the rank of the two tokens' own merge, if that one doesn't count against them."""
-        limit, rank, parts = 1 << 60, self.rank, self.parts
-        while True:
-            # limit is doubled; an odd limit lets an equal rank pass on the right side
-            across = rank.get((left, right))
-            if across is not None and across != own and 2 * across < limit:
-                return False
-            a, b = parts[left], parts[right]
-            if a is None and b is None:
-                return True
-            if b is None or (a is not None and a[0] > b[0]):
-                limit, left = 2 * a[0], a[2]
-            elif a is None or b[0] > a[0]:
-                limit, right = 2 * b[0] + 1, b[1]
-            else:  # equal merges on both sides: the left one is applied first, so the right one is undone first
-                limit, right = 2 * b[0] + 1, b[1]
-
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece of the split pattern, as little-endian unsigned 32-bit integers."""
-        data = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        # the separator is no byte, so that no token crosses pieces
-        joined = SEPARATOR.join([d.decode("latin-1") for d in data])
-        found = list(self.automaton.iter(joined))
-        pairs = np.fromiter(chain.from_iterable(found), np.int64, 2 * len(found)).reshape(-1, 2)
-        longest_at = np.full(len(joined) + 1, -1, np.int64)
-        # matches come by their end, so of those with one start the last is the longest
-        longest_at[pairs[:, 0] - self.size_of[pairs[:, 1]] + 1] = pairs[:, 1]
-        longest = longest_at.tolist()
-        length, fits, packed, sound = self.length, self.fits, self.packed, self.sound
-        out, start = [], 0
-        for d in data:
-            stop = start + len(d)
-            token = longest[start]
-            at = start + length[token]
-            if at == stop and sound[token]:
-                out.append(packed[token])
-            else:
-                row = [packed[token]]
-                while at < stop:
-                    after = longest[at]
-                    ok = fits.get(token << 32 | after)
-                    if ok is None:
-                        ok = self.compatible(token, after)
-                    if not ok:
-                        break
-                    row.append(packed[after])
-                    token = after
-                    at += length[token]
-                else:
-                    if len(row) > 1:
-                        out.append(b"".join(row))
-                        start = stop + 1
-                        continue
-                out.append(b"".join([packed[t] for t in self._backtracked(longest, start, stop)]))
-            start = stop + 1
+        wins ties, as merging runs from the left), it would have come first and the seam would not have lasted.
+        own: the rank of the two tokens' own merge, if that one doesn't count against them."""
+        out = np.zeros(len(left), bool)
+        todo, left, right = np.arange(len(left)), left.copy(), right.copy()
+        # limits are doubled; an odd limit lets an equal rank pass on the right side
+        limit = np.full(len(left), 1 << 60, np.int64)
+        while len(todo):
+            across = self.rank(left, right)
+            against = (across >= 0) & (2 * across < limit)
+            if own is not None:
+                against &= across != own[todo]
+            a, b = self.made[left], self.made[right]
+            ended = (a < 0) & (b < 0)
+            out[todo[ended & ~against]] = True
+            go = np.flatnonzero(~against & ~ended)
+            todo, left, right, a, b = todo[go], left[go], right[go], a[go], b[go]
+            # of equal merges on both sides the left one is applied first, so the right one is undone first
+            on_left = a > b
+            limit = np.where(on_left, 2 * a, 2 * b + 1)
+            left, right = np.where(on_left, self.right[left], left), np.where(on_left, right, self.left[right])
         return out
 
-    def _backtracked(self, longest: list[int], start: int, stop: int) -> list[int]:
-        """Ids of the piece at start to stop, where greedy longest tokens don't fit throughout."""
-        length, shorter, compatible, sound = self.length, self.shorter, self.compatible, self.sound
-        dead = bytearray(stop - start + 1)
-        out: list[int] = []
-        at, token = start, longest[start]
-        while True:
-            end = at + length[token]
-            if not dead[end - start] and sound[token] and (not out or compatible(out[-1], token)):
-                out.append(token)
-                if end == stop:
-                    return out
-                at, token = end, longest[end]
-                continue
-            token = shorter[token]
-            while token < 0:  # nothing fits here: give up this position and shorten the token before
-                dead[at - start] = 1
-                before = out.pop()
-                at -= length[before]
-                token = shorter[before]
-
-    def _sound(self) -> list[bool]:
+    def _sound(self) -> np.ndarray:
         """For each token, whether merging its own bytes gives the token: its last merge joins two sound, compatible
         parts. Parts have earlier merges, so they are known before the whole."""
-        sound = [True] * len(self.token)
-        for token in sorted((i for i, x in enumerate(self.parts) if x), key=lambda i: self.parts[i][0]):
-            _, a, b = self.parts[token]
-            sound[token] = sound[a] and sound[b] and self._joins(a, b)
+        sound = self.length == 1
+        whole = np.flatnonzero(self.made >= 0)
+        whole = whole[np.argsort(self.made[whole], kind="stable")]
+        joins = self._lasting(self.left[whole], self.right[whole], self.made[whole])
+        for t, a, b, ok in zip(whole.tolist(), self.left[whole].tolist(), self.right[whole].tolist(), joins.tolist(), strict=True):
+            sound[t] = ok and sound[a] and sound[b]
         return sound
 
-    def _joins(self, left: int, right: int) -> bool:
-        """Whether nothing inside the two tokens merges across the seam before the tokens themselves do."""
-        return self._lasting(left, right, self.rank[left, right])
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; a special token's string gives its id."""
-        plain = [i for i, t in enumerate(texts) if PLAIN(t)]
-        out: list[bytes] = [b""] * len(texts)
-        if plain:
-            # a line feed between texts that hold no white space but a first blank is a piece of its own
-            pieces = self.pieces("\n".join([texts[i] for i in plain]))
-            distinct = {p: k for k, p in enumerate(dict.fromkeys(pieces))}
-            ids = self.encode_pieces(list(distinct))
-            at, row = 0, []
-            for p in pieces:
-                if p == "\n":
-                    out[plain[at]] = b"".join(row)
-                    at, row = at + 1, []
-                else:
-                    row.append(ids[distinct[p]])
-            out[plain[at]] = b"".join(row)
-        known = set(plain)
-        for i, t in enumerate(texts):
-            if i not in known:
-                out[i] = self.encode(t)
-        return out
-
-    def encode(self, text: str) -> bytes:
-        if self.special_split is None or not any(s in text for s in self.special):
-            return b"".join(self.encode_pieces(self.pieces(text)))
-        parts = self.special_split.split(text)
-        return b"".join(
-            np.array([self.special[p]], "<u4").tobytes() if p in self.special else b"".join(self.encode_pieces(self.pieces(p)))
-            for p in parts
-            if p
-        )
+    def encode_pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces one after another, number of ids of each); piece i is data[offsets[i] : offsets[i + 1]]."""
+        longest = self.automaton.longest(data, offsets)
+        ending = np.full(len(data) + 1, -1, np.int64)  # the token of the path so far that ends at a place
+        dead = np.zeros(len(data) + 1, bool)
+        chosen = np.full(len(data), -1, np.int64)  # by its first byte, each token of the result
+        piece = np.flatnonzero(offsets[1:] > offsets[:-1])
+        at = offsets[piece]
+        token, before = longest[at].astype(np.int64), np.full(len(piece), -1, np.int64)
+        while len(piece) > FEW:
+            back = token < 0
+            if back.any():  # nothing fits here: give up this place and shorten the token before
+                i = np.flatnonzero(back)
+                dead[at[i]] = True
+                at[i] -= self.length[before[i]]
+                token[i] = self.shorter[before[i]]
+                before[i] = np.where(at[i] > offsets[piece[i]], ending[at[i]], -1)
+            end = at + self.length[token]
+            ok = (token >= 0) & ~dead[end] & self.sound[token]
+            i = np.flatnonzero(ok & (before >= 0))
+            ok[i] = self.compatible(before[i], token[i])
+            failed = np.flatnonzero(~ok & (token >= 0))
+            token[failed] = self.shorter[token[failed]]
+            i = np.flatnonzero(ok)
+            ending[end[i]] = token[i]
+            before[i], at[i] = token[i], end[i]
+            token[i] = longest[end[i]]
+            left = np.flatnonzero(at < offsets[piece + 1])
+            if len(left) < len(piece):
+                self._path(piece[at == offsets[piece + 1]], offsets, ending, chosen)
+                piece, at, token, before = piece[left], at[left], token[left], before[left]
+        for i in piece.tolist():
+            a, b = int(offsets[i]), int(offsets[i + 1])
+            for place, found in self._backtracked(longest[a:b].tolist()):
+                chosen[a + place] = found
+        taken = chosen >= 0
+        return chosen[taken].astype(np.uint32), np.diff(np.r_[0, np.cumsum(taken)][offsets])
+
+    def _path(self, piece: np.ndarray, offsets: np.ndarray, ending: np.ndarray, chosen: np.ndarray) -> None:
+        """Notes the tokens of finished pieces, from the last to the first."""
+        at, first = offsets[piece + 1], offsets[piece]
+        while len(at):
+            token = ending[at]
+            at = at - self.length[token]
+            chosen[at] = token
+            left = at > first
+            at, first = at[left], first[left]
+
+    def _backtracked(self, longest: list[int]) -> list[tuple[int, int]]:
+        """(place, token) of one piece: the same search with the path as a list."""
+        stop, length, sound = len(longest), self.length, self.sound
+        dead, path = bytearray(stop + 1), []
+        at, token = 0, longest[0]
+        known: dict[tuple[int, int], bool] = {}
+        while True:
+            end = at + int(length[token])
+            if not dead[end] and sound[token]:
+                ok = not path
+                if path:
+                    pair = path[-1][1], token
+                    ok = known.get(pair)
+                    if ok is None:
+                        ok = known[pair] = bool(self.compatible(np.array(pair[:1]), np.array(pair[1:]))[0])
+                if ok:
+                    path.append((at, token))
+                    if end == stop:
+                        return path
+                    at, token = end, longest[end]
+                    continue
+            token = int(self.shorter[token])
+            while token < 0:
+                dead[at] = 1
+                at, before = path.pop()
+                token = int(self.shorter[before])
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, end of each text in them); a null text has no ids, a special token's string gives its id."""
+        pieces = cut(texts, self.special)
+        pool, size = self.encode_pieces(pieces.data, pieces.offsets)
+        if pieces.special:
+            first = np.cumsum(size) - size
+            cuts = np.split(pool, first[1:]) if len(size) else []
+            for k, token in pieces.special.items():
+                cuts[k] = np.array([token], np.uint32)
+            pool, size = np.concatenate(cuts), np.array([len(x) for x in cuts], np.int64)
+        return spread(pieces, pool, size)
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_texts(pa.array([text], pa.string()))[0]
 
     def gather(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The tokens' bytes one after another, and for each token (and the end) the number of bytes before it."""
@@ -235,9 +373,9 @@ class Codec:
         before = np.r_[0, np.cumsum(size)]
         return gathered(self.blob, start, size, before[1:]), before
 
-    def decode(self, ids: bytes) -> bytes:
+    def decode(self, ids: np.ndarray) -> bytes:
         """The text's UTF-8 bytes; bytes that are no UTF-8 become U+FFFD."""
-        return valid_utf8(self.gather(np.frombuffer(ids, "<u4"))[0].tobytes())
+        return valid_utf8(self.gather(ids)[0].tobytes())
 
 
 def valid_utf8(data: bytes) -> bytes:
@@ -254,17 +392,11 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-@lru_cache(maxsize=4)
-def batch_encoder(path: str) -> BatchEncoder:
-    c = codec(path)
-    return BatchEncoder(c.encode_many, list(c.special), KEPT_SEGMENTS)
-
-
 def _coded(path: str, with_content: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, encode = codec(path), batch_encoder(path)
-        for batch in batches:
-            ids, ends = encode(batch.column(1))
+        c = codec(path)
+        for batch in by_bytes(batches, TOGETHER):
+            ids, ends = c.encode_texts(batch.column(1))
             starts = np.r_[0, ends[:-1]] if len(ends) else ends
             raw, bytes_before = c.gather(ids)
             n, ids_sha, text_sha, lists, texts = [], [], [], [], []
@@ -295,7 +427,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, with_content: bool = False) -
     A null text counts as empty: no ids, digests of nothing. Whole texts of any length are encoded; repeated rows give
     repeated results; an empty table gives no rows. ``tokenizer`` is a path that every executor can open.
     """
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession)
     more = ", ids array<int>, decoded string" if with_content else ""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         _coded(tokenizer, with_content),

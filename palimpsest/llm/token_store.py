@@ -6,7 +6,7 @@ document is a recipe, the list of its chunks' digests. Recipes lie in files in a
 hashes form a Merkle tree up to one root in the manifest.
 
 Tables under the store's path, all Parquet: ``data/kind=0`` (digest, payload: ids as little-endian unsigned 16- or
-32-bit integers), ``recipes`` (part, block, at, doc_id, n_tokens, digests, after, leaf), ``manifest`` (part, block,
+32-bit integers), ``recipes`` (part, block, at, doc_id, n_tokens, digests, after), ``manifest`` (part, block,
 n_docs, n_tokens, low, high, root).
 """
 
@@ -17,20 +17,22 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from palimpsest.llm.segments import BatchEncoder, plain_groups
+from palimpsest.llm.pieces import by_bytes, cut, spread
 from palimpsest.llm.storage import shared_dir, small_batches
 
 END_ID = 0
-#: Segments that go to the library as one text.
-GROUP = 500
+#: Pieces that go to the library as one text, and bytes of text whose distinct pieces are encoded together.
+GROUP, TOGETHER = 500, 1 << 23
+#: From so many known pieces on, a worker forgets them before the next batch; only speed and memory depend on it.
+KEPT = 700_000
 #: Ids that the rolling hash sees, least and most ids of a chunk, and the bits that decide a cut (one in 256 places).
 WINDOW, LEAST, MOST, CUT_BITS = 16, 64, 1024, 8
 #: Recipes in a block of the Merkle tree.
@@ -38,36 +40,82 @@ BLOCK = 1024
 FACTOR, BASE = np.uint32(2654435761), 0x01000193
 
 
-@lru_cache(maxsize=4)
-def library_encoder(path: str) -> BatchEncoder:
-    """Encodes with the tokenizers library; what was encoded lately is kept by segment."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks already use the cores
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-
-    between = tokenizer.encode("\n", add_special_tokens=False).ids
-
-    def encode(texts: list[str]) -> list[bytes]:
-        """Plain texts go to the library joined by line feeds, whose id then tells them apart; others go one by one."""
-        groups, rest = plain_groups(texts, GROUP) if len(between) == 1 else ([], list(range(len(texts))))
-        asked = [joined for _, joined in groups] + [texts[i] for i in rest]
-        found = [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(asked, add_special_tokens=False)]
-        out: list[bytes] = [b""] * len(texts)
-        for (group, _), ids in zip(groups, found, strict=False):
-            cuts = np.flatnonzero(ids == between[0]).tolist()
-            if len(cuts) != len(group) - 1:
+class LibraryEncoder:
+    """Encodes batches of texts with the tokenizers library, each distinct piece of the split pattern once while it is kept."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks already use the cores
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        self.tokenizer = tokenizer
+        self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        between = self._asked(["\n"])[0]
+        if len(between) != 1:
+            raise ValueError("a line feed isn't one id in this tokenizer")
+        self.between = between[0]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self.used, self.ends = 0, np.zeros(1 << 14, np.int64)
+
+    def _asked(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Encodes pieces that aren't known yet.
+
+        Pieces with a word go to the library joined by line feeds, whose id then tells them apart; a line feed before and
+        behind such a piece changes nothing in how it is cut. White space and special tokens go one by one."""
+        names = {x.encode() for x in self.special}
+        alone = [p for p in pieces if p in names or ((p[-1] <= 0x20 or p[-1] >= 0x80) and p.decode().isspace())]
+        single = set(alone)
+        joined = [p for p in pieces if p not in single] if single else pieces
+        groups = [joined[k : k + GROUP] for k in range(0, len(joined), GROUP)]
+        found = self._asked([b"\n".join(g).decode() for g in groups] + [p.decode() for p in alone])
+        parts, sizes = [], []
+        for group, ids in zip(groups, found, strict=False):
+            at = np.flatnonzero(ids == self.between)
+            if len(at) != len(group) - 1:
                 raise ValueError("a line feed isn't an id of its own in this tokenizer")
-            raw, start = ids.tobytes(), 0
-            for i, end in zip(group, [*cuts, len(ids)], strict=True):
-                out[i] = raw[4 * start : 4 * end]
-                start = end + 1
-        for i, ids in zip(rest, found[len(groups) :], strict=True):
-            out[i] = ids.tobytes()
-        return out
+            sizes.append(np.diff(np.r_[-1, at, len(ids)]) - 1)
+            parts.append(np.delete(ids, at))
+        parts += found[len(groups) :]
+        sizes.append([len(x) for x in found[len(groups) :]])
+        fresh, ends = np.concatenate(parts), np.cumsum(np.concatenate(sizes)).astype(np.int64)
+        first = len(self.known)
+        self.known.update(zip([*joined, *alone], range(first, first + len(pieces)), strict=True))
+        self.pool = _room(self.pool, self.used + len(fresh))
+        self.pool[self.used : self.used + len(fresh)] = fresh
+        self.ends = _room(self.ends, len(self.known))
+        self.ends[first : len(self.known)] = self.used + ends
+        self.used += len(fresh)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, end of each text in them); a null text has no ids."""
+        pieces = cut(texts, self.special)
+        if len(self.known) > KEPT:
+            self._forget()
+        raw, at = pieces.data.tobytes(), pieces.offsets.tolist()
+        names = [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+        if new := [p for p in names if p not in self.known]:
+            self._learn(new)
+        k = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        first = np.where(k > 0, self.ends[k - 1], 0)
+        return spread(pieces, self.pool[: self.used], self.ends[k] - first, first)
+
+
+def _room(array: np.ndarray, n: int) -> np.ndarray:
+    """The array with place for ``n`` values at least."""
+    return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)])
+
 
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    return BatchEncoder(encode, special)
+@lru_cache(maxsize=4)
+def library_encoder(path: str) -> LibraryEncoder:
+    """One encoder per worker process and file."""
+    return LibraryEncoder(path)
 
 
 def cut_places(ids: np.ndarray) -> np.ndarray:
@@ -111,45 +159,47 @@ def _chunked(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = library_encoder(path)
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in by_bytes(batches, TOGETHER):
             flat, ends = encode(batch.column(1))
             count = len(ends)
             # the end id goes behind each document
-            ids = np.insert(flat, ends, END_ID) if count else flat
+            ids = np.insert(flat, ends, END_ID)
             ends = ends + np.arange(1, count + 1)
-            narrow = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids.astype("<u4")
-            width = narrow.itemsize.to_bytes(1, "little")
+            narrow = ids.astype("<u2") if ids.max(initial=0) < 1 << 16 else ids.astype("<u4")
+            width, raw = narrow.itemsize, narrow.tobytes()
+            mark = width.to_bytes(1, "little")
             places = cut_places(ids)
-            cols: dict[str, list] = {n: [] for n in _ROWS.names}
-
-            def add(**row):
-                for name, col in cols.items():
-                    col.append(row.get(name))
-
-            start = 0
-            for doc_id, stop in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):
-                own = places[np.searchsorted(places, start + LEAST - 1) : np.searchsorted(places, stop)] - start
-                digests, after, a = [], [], 0
-                n = stop - start
-                for b in chunk_ends(n, own.tolist()):
-                    payload = width + narrow[start + a : start + b].tobytes()
+            starts = np.r_[0, ends[:-1]]
+            low, high = np.searchsorted(places, starts + LEAST - 1), np.searchsorted(places, ends)
+            names, payloads, routes, digests, after = [], [], [], [], []
+            for doc_id, start, stop, a, b in zip(batch.column(0).to_pylist(), starts.tolist(), ends.tolist(), low.tolist(), high.tolist(), strict=True):
+                own, at = [], start
+                stops = chunk_ends(stop - start, (places[a:b] - start).tolist())
+                for end in stops:
+                    payload = mark + raw[at * width : (start + end) * width]
+                    at = start + end
                     digest = hashlib.blake2b(payload, digest_size=16).digest()
-                    digests.append(digest)
-                    after.append(n - b)
-                    a = b
+                    own.append(digest)
                     if digest not in seen:
                         if len(seen) > 500_000:
                             seen.clear()
                         seen.add(digest)
-                        add(kind=0, route=int.from_bytes(digest[:8], "little", signed=True), digest=digest, payload=payload)
-                route = int.from_bytes(hashlib.blake2b(b"".join(digests) + str(doc_id).encode(), digest_size=8).digest(), "little", signed=True)
-                add(kind=1, route=route, doc_id=doc_id, n_tokens=n, digests=digests, after=after)
-                start = stop
-            yield pa.record_batch([pa.array(cols[f.name], f.type) for f in _ROWS], schema=_ROWS)
+                        names.append(digest)
+                        payloads.append(payload)
+                digests.append(own)
+                after.append([stop - start - end for end in stops])
+                routes.append(int.from_bytes(hashlib.blake2b(b"".join(own) + str(doc_id).encode(), digest_size=8).digest(), "little", signed=True))
+            yield _rows(len(names), kind=0, route=[int.from_bytes(d[:8], "little", signed=True) for d in names], digest=names, payload=payloads)
+            yield _rows(count, kind=1, route=routes, doc_id=batch.column(0), n_tokens=ends - starts, digests=digests, after=after)
 
     return run
 
 
+def _rows(count: int, kind: int, **columns) -> pa.RecordBatch:
+    columns["kind"] = np.full(count, kind, np.int32)
+    return pa.record_batch([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(count, f.type) for f in _ROWS], schema=_ROWS)
+
+
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one chunk come to one partition; the first one stays (16 bytes are kept for each chunk)."""
     seen: set[bytes] = set()
@@ -162,24 +212,10 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep))
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts the sorted recipes of a partition and hashes each one."""
-    at = 0
-    for batch in batches:
-        n = batch.num_rows
-        leaves = [
-            hashlib.sha256(repr((d, t)).encode() + b"".join(x)).digest()
-            for d, t, x in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
-        ]
-        place = pa.array(np.arange(at, at + n, dtype=np.int64))
-        at += n
-        yield pa.record_batch([*batch.columns, place, pa.array(leaves, pa.binary())], names=["doc_id", "n_tokens", "digests", "after", "at", "leaf"])
-
-
 def write_store(docs: DataFrame, tokenizer: str, path: str | None = None) -> str:
     """Encode ``docs`` (doc_id, text), write the store and return its path (under the shared folder by default)."""
     spark = docs.sparkSession
-    small_batches(spark, 2000)
+    small_batches(spark)
     path = path or f"{shared_dir(spark)}/palimpsest-tokens-{uuid.uuid4().hex}"
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_chunked(tokenizer), _ROWS_SQL)
@@ -192,16 +228,17 @@ def write_store(docs: DataFrame, tokenizer: str, path: str | None = None) -> str
         parts, F.col("doc_id").asc_nulls_first(), F.col("n_tokens"), F.col("digests")
     )
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "digests")
-    numbered = ordered.mapInArrow(_numbered, "doc_id long, n_tokens long, digests array<binary>, after array<long>, at long, leaf binary")
+    # the id holds the partition above 33 bits of a count
+    numbered = ordered.withColumn("n", F.monotonically_increasing_id()).withColumn("at", F.col("n").bitwiseAND(F.lit((1 << 33) - 1)))
     numbered.select(
-        F.spark_partition_id().alias("part"), F.floor(F.col("at") / BLOCK).alias("block"), "at", "doc_id", "n_tokens", "digests", "after", "leaf"
+        F.shiftright("n", 33).cast("int").alias("part"), F.floor(F.col("at") / BLOCK).alias("block"), "at", "doc_id", "n_tokens", "digests", "after"
     ).write.option("compression", "zstd").parquet(f"{path}/recipes")
     _manifest(read_recipes(spark, path)).write.parquet(f"{path}/manifest")
     return path
 
 
 _DATA_SQL = "digest binary, payload binary, doc_id long, n_tokens long, digests array<binary>, after array<long>, kind int"
-_RECIPES_SQL = "part int, block long, at long, doc_id long, n_tokens long, digests array<binary>, after array<long>, leaf binary"
+_RECIPES_SQL = "part int, block long, at long, doc_id long, n_tokens long, digests array<binary>, after array<long>"
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -209,7 +246,8 @@ def read_recipes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _manifest(recipes: DataFrame) -> DataFrame:
-    """Merkle nodes: a row per block over its recipes' hashes, per part over its blocks (block null), and one root."""
+    """Merkle nodes: a row per block over the hashes of its recipes (doc_id, size, digests in order), per part over its
+    blocks (block null), and one root."""
 
     def node(df: DataFrame, order: str, leaf: str, *keys: str) -> DataFrame:
         joined = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(order, F.hex(leaf).alias("h")))), lambda x: x["h"]))
@@ -218,7 +256,10 @@ def _manifest(recipes: DataFrame) -> DataFrame:
             F.max("high").alias("high"), F.unhex(F.sha2(joined, 256)).alias("root"),
         )
 
-    leaves = recipes.select("part", "block", "at", F.lit(1).cast("long").alias("n_docs"), "n_tokens", F.col("doc_id").alias("low"), F.col("doc_id").alias("high"), "leaf")
+    names = F.array_join(F.transform("digests", F.hex), ",")
+    recipe = F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "n_tokens", names)
+    leaf = F.unhex(F.sha2(recipe, 256)).alias("leaf")
+    leaves = recipes.select("part", "block", "at", F.lit(1).cast("long").alias("n_docs"), "n_tokens", F.col("doc_id").alias("low"), F.col("doc_id").alias("high"), leaf)
     blocks = node(leaves, "at", "leaf", "part", "block")
     parts = node(blocks, "block", "root", "part").withColumn("block", F.lit(None).cast("long"))
     root = node(parts, "part", "root", "block").withColumn("part", F.lit(None).cast("int"))
@@ -284,11 +325,14 @@ def _shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the store's files.
 
-    Chunk payloads are read and checked against their digests where they lie; only their sizes and crcs meet the
-    recipes, and a document's crc is put together from its chunks'. A recipe whose chunk is missing is an error.
+    The recipes are hashed again and held against the Merkle manifest up to its root. Chunk payloads are read and checked
+    against their digests where they lie; only their sizes and crcs meet the recipes, and a document's crc is put together
+    from its chunks'. A changed recipe, block or root, a damaged chunk or one that is missing is an error.
     """
     small_batches(spark)
-    stored = spark.read.schema(_DATA_SQL).parquet(f"{path}/data").filter("kind = 0").select("digest", "payload")
+    if not verify_store(spark, path):
+        raise ValueError(f"the recipes under {path} are not those that the manifest names")
+    stored = _chunks(spark, path)
     chunks = stored.mapInArrow(_checked_chunks, "digest binary, n long, crc long")
     recipes = read_recipes(spark, path)
     places = recipes.select("part", "at", F.explode(F.arrays_zip("digests", "after")).alias("x"))
@@ -322,7 +366,37 @@ def store_and_read(docs: DataFrame, tokenizer: str, path: str | None = None) ->
 
 
 def verify_store(spark: SparkSession, path: str) -> bool:
-    """Whether the manifest's hashes follow from the recipes as they lie in the files."""
-    cols = ["part", "block", "n_docs", "n_tokens", "low", "high", F.hex("root").alias("root")]
-    kept, made = spark.read.parquet(f"{path}/manifest").select(*cols), _manifest(read_recipes(spark, path)).select(*cols)
-    return kept.exceptAll(made).isEmpty() and made.exceptAll(kept).isEmpty()
+    """Whether the manifest's hashes, counts and root follow from the recipes as they lie in the files."""
+    cols = ["part", "block", "n_docs", "n_tokens", "low", "high", "root"]
+    kept = spark.read.parquet(f"{path}/manifest").select(F.struct(*cols).alias("kept"))
+    made = _manifest(read_recipes(spark, path)).select(F.struct(*cols).alias("made"))
+    one = reduce(Column.__and__, [F.col(f"kept.{c}").eqNullSafe(F.col(f"made.{c}")) for c in ("part", "block")])
+    return kept.join(made, one, "full").filter(~F.col("kept").eqNullSafe(F.col("made"))).isEmpty()
+
+
+def _chunks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_DATA_SQL).parquet(f"{path}/data").filter("kind = 0").select("digest", "payload")
+
+
+def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = []
+        for digests, payloads, n in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            for digest, payload in zip(digests, payloads, strict=True):
+                if payload is None or hashlib.blake2b(payload, digest_size=16).digest() != digest:
+                    raise ValueError(f"chunk {digest.hex()} is missing or damaged")
+            ids.append(np.concatenate([payload_ids(p) for p in payloads]).astype(np.int64))
+            if len(ids[-1]) != n:
+                raise ValueError("a document is incomplete")
+        yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, ids) of every document, the end id included, put together from its recipe's chunks; every chunk is checked
+    against its digest."""
+    small_batches(spark)
+    recipes = read_recipes(spark, path)
+    places = recipes.select("part", "at", "doc_id", "n_tokens", F.posexplode("digests").alias("i", "digest"))
+    met = places.join(_chunks(spark, path), "digest", "left").groupBy("part", "at", "doc_id", "n_tokens")
+    xs = met.agg(F.array_sort(F.collect_list(F.struct("i", "digest", "payload"))).alias("xs"))
+    return xs.select("doc_id", "xs.digest", "xs.payload", "n_tokens").mapInArrow(_rebuilt, "doc_id long, ids array<long>")

@@ -26,8 +26,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Make the session ready for Python workers: they get this package's code, and one Arrow batch carries so few rows
-    that long texts stay within a worker's memory."""
+#: What one Arrow batch to a Python worker may hold; the same for all operators, as plans of one session run later than
+#: they are made. Operators that hold more than a few times a batch regroup rows by bytes themselves.
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 22
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Make the session ready for Python workers: they get this package's code, and Arrow batches are bounded by rows and
+    by bytes, so that long texts stay within a worker's memory."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -134,7 +134,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 100) -> DataFrame:
     ``vectors`` has vec_id and embedding; other columns are ignored. A repeated vec_id is a query each time it differs
     in its vector (equal rows are one query) and all its rows are candidates to others. An empty table gives no rows.
     """
-    small_batches(vectors.sparkSession, 10_000)
+    small_batches(vectors.sparkSession)
     rows = materialize(quantized(vectors), "vectors")
     n = rows.count()
     shards = max(1, -(-n // SHARD_ROWS))

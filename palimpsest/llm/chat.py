@@ -54,27 +54,6 @@ def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
-def record_fingerprint(record: Column) -> Column:
-    """The fingerprint of a JSON object, row by row; null for text that is no JSON object.
-
-    Paths of up to one array or object level inside the record are told apart, which all layouts need."""
-    parsed = F.try_parse_json(record)
-    shape = F.schema_of_variant(parsed)
-    inner = F.regexp_extract(shape, r"^OBJECT<(.*)>$", 1)
-    # nested fields are marked first: name: ARRAY<OBJECT<a: X, b: Y>> gives name[].a, name[].b
-    fields = F.regexp_extract_all(inner, F.lit(r"([^,<>:]+: (?:ARRAY<OBJECT<[^<>]*>>|OBJECT<[^<>]*>|[^,]+))"), 1)
-
-    def leaves(field: Column) -> Column:
-        name = F.trim(F.substring_index(field, ": ", 1))
-        body = F.regexp_extract(field, r"OBJECT<([^<>]*)>", 1)
-        mark = F.when(field.contains(": ARRAY<"), F.lit("[]")).otherwise(F.lit(""))
-        below = F.transform(F.split(body, ", "), lambda x: F.concat(name, mark, F.lit("."), F.substring_index(x, ": ", 1)))
-        return F.when(body != "", below).otherwise(F.array(F.concat(name, mark)))
-
-    paths = F.array_sort(F.flatten(F.transform(fields, leaves)))
-    return F.when(inner != "", F.substring(F.sha2(F.array_join(paths, "\n"), 256), 1, 16))
-
-
 def _role(role: Column) -> Column:
     known = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
     lower = F.lower(role)
@@ -98,31 +77,78 @@ def _mapped(record: Column, kind: str, fields) -> Column:
     return F.array_compact(F.array(*turns))
 
 
+def record_paths(record: Column) -> Column:
+    """The sorted field paths of a JSON object, row by row; null for text that is no JSON object.
+
+    Paths of up to one array or object level inside the record are told apart, which all layouts need."""
+    parsed = F.try_parse_json(record)
+    shape = F.schema_of_variant(parsed)
+    inner = F.regexp_extract(shape, r"^OBJECT<(.*)>$", 1)
+    # nested fields are marked first: name: ARRAY<OBJECT<a: X, b: Y>> gives name[].a, name[].b
+    fields = F.regexp_extract_all(inner, F.lit(r"([^,<>:]+: (?:ARRAY<OBJECT<[^<>]*>>|OBJECT<[^<>]*>|[^,]+))"), 1)
+
+    def leaves(field: Column) -> Column:
+        name = F.trim(F.substring_index(field, ": ", 1))
+        body = F.regexp_extract(field, r"OBJECT<([^<>]*)>", 1)
+        mark = F.when(field.contains(": ARRAY<"), F.lit("[]")).otherwise(F.lit(""))
+        below = F.transform(F.split(body, ", "), lambda x: F.concat(name, mark, F.lit("."), F.substring_index(x, ": ", 1)))
+        return F.when(body != "", below).otherwise(F.array(F.concat(name, mark)))
+
+    return F.when(inner != "", F.array_sort(F.flatten(F.transform(fields, leaves))))
+
+
+def _fingerprint(paths: Column) -> Column:
+    return F.substring(F.sha2(F.array_join(F.array_sort(paths), "\n"), 256), 1, 16)
+
+
+def _layout(paths: Column, kinds: tuple[str, ...]) -> Column:
+    """The name of the first layout, those with most paths first, whose fingerprint the known paths among ``paths`` give;
+    paths that a layout doesn't name play no part in it. Null if there is none."""
+    layouts = sorted((x for x in LAYOUTS if x[2] in kinds), key=lambda x: -len(x[1]))
+    named = [
+        F.when(_fingerprint(F.array_intersect(paths, F.array(*map(F.lit, wanted)))) == path_fingerprint(wanted), F.lit(name))
+        for name, wanted, _, _ in layouts
+    ]
+    return F.coalesce(*named)
+
+
 def turns_of_records(records: DataFrame) -> DataFrame:
     """(conv_id, layout, turns): canonical turns of JSON records (conv_id, record); other columns are ignored.
 
-    layout is null and turns is null where no mapping has the record's fingerprint."""
-    prints = records.select("conv_id", "record", record_fingerprint(F.col("record")).alias("fp"))
-    known = [x for x in LAYOUTS if x[2] != "rows"]
-    name = reduce(lambda acc, x: F.when(F.col("fp") == path_fingerprint(x[1]), F.lit(x[0])).otherwise(acc), known, F.lit(None).cast("string"))
-    turns = reduce(
-        lambda acc, x: F.when(F.col("fp") == path_fingerprint(x[1]), _mapped(F.col("record"), x[2], x[3]).cast(TURNS)).otherwise(acc),
-        known,
-        F.lit(None).cast(TURNS),
-    )
-    return prints.select("conv_id", name.alias("layout"), turns.alias("turns"))
+    A record may hold more fields than its layout names (ids, sources, names of messages). layout and turns are null
+    where no mapping has the record's fingerprint, for null records and for text that is no JSON object; ``unmapped``
+    counts these. Very long records are mapped whole; repeated records give repeated results."""
+    prints = records.select("conv_id", "record", record_paths(F.col("record")).alias("paths"))
+    found = prints.withColumn("layout", _layout(F.col("paths"), ("messages", "fields")))
+    turns = F.lit(None).cast(TURNS)
+    for name, _, kind, fields in LAYOUTS:
+        if kind != "rows":
+            turns = F.when(F.col("layout") == name, _mapped(F.col("record"), kind, fields).cast(TURNS)).otherwise(turns)
+    return found.select("conv_id", "layout", turns.alias("turns"))
+
+
+def unmapped(mapped: DataFrame) -> DataFrame:
+    """(records, without): how many records there are, and how many no layout fits."""
+    return mapped.agg(F.count("*").alias("records"), F.count_if(F.col("layout").isNull()).alias("without"))
 
 
 def turns_of_rows(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) of a table whose rows are turns; its columns must hold those of a known layout."""
-    have = set(schema_paths(rows.schema))
-    for _, paths, kind, (conv, turn, role, text) in (x for x in LAYOUTS if x[2] == "rows"):
-        if path_fingerprint(have & set(paths)) == path_fingerprint(paths):
-            return rows.select(
-                F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"),
-                F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
-            )
-    raise ValueError(f"no mapping for the field paths {sorted(have)}")
+    """(conv_id, turn, role, text) of a table whose rows are turns.
+
+    The field paths of its schema are fingerprinted as a record's are, so a table with further columns maps as well; one
+    that fits no layout is an error. Null roles and texts are empty."""
+    have = schema_paths(rows.schema)
+    known = [x for x in LAYOUTS if x[2] == "rows"]
+    prints = {path_fingerprint(paths): fields for _, paths, _, fields in known}
+    wanted = [path_fingerprint(set(have) & set(paths)) for _, paths, _, _ in known]
+    fields = next((prints[x] for x in wanted if x in prints), None)
+    if fields is None:
+        raise ValueError(f"no mapping for the field paths {sorted(have)}")
+    conv, turn, role, text = fields
+    return rows.select(
+        F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"),
+        F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+    )
 
 
 def escape(text: Column) -> Column:
@@ -164,7 +190,8 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
 
 def read_turns(formatted: DataFrame) -> DataFrame:
-    """(conv_id, turns, formatted_chars): turns parsed from the formatted text: role, text (both unescaped), loss."""
+    """(conv_id, turns, loss_texts, formatted_chars): turns parsed from the formatted text: role, text (both unescaped) and
+    whether it bears loss; loss_texts holds what the loss spans cut out of the formatted text, unescaped, in order."""
     pieces = F.filter(F.split("formatted", r"<\|end\|>\n"), lambda x: x != "")
 
     def parsed(piece: Column, i: Column) -> Column:
@@ -173,4 +200,8 @@ def read_turns(formatted: DataFrame) -> DataFrame:
         text = F.substring(rest, F.char_length(role) + 2, F.lit(2**31 - 1))
         return F.struct(unescape_role(role).alias("role"), unescape(text).alias("text"), F.get("loss_spans", i)["loss"].alias("loss"))
 
-    return formatted.select("conv_id", F.transform(pieces, parsed).alias("turns"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    borne = F.filter("loss_spans", lambda s: s["loss"])
+    masked = F.transform(borne, lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
+    return formatted.select(
+        "conv_id", F.transform(pieces, parsed).alias("turns"), masked.alias("loss_texts"), F.char_length("formatted").cast("long").alias("formatted_chars")
+    )

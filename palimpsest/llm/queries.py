@@ -67,7 +67,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.turns_of_rows(table(spark, sf_dir, "conversations"))
     back = chat.read_turns(chat.format_turns(rows.unionByName(extra)))
     turns_text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss_text = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
+    loss_text = F.array_join("loss_texts", "")
     texts = back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), turns_text.alias("t"), loss_text.alias("l"), "formatted_chars")
     return texts.select(
         "conv_id", "n_turns", F.sha2("t", 256).alias("turns_sha256"), F.char_length("l").cast("long").alias("loss_chars"),

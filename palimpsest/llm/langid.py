@@ -5,7 +5,8 @@ language, bit r of its filter. The rows of an n-gram's hash places and'ed togeth
 (seem to) contain it. A document's popcount for a language is the number of its n-grams whose mask has that language's
 bit, corrected for the false positives that the filter's fill predicts; the highest corrected share decides.
 
-A language's filter holds the n-grams that are most frequent in it and at least half as frequent as in any other.
+A language's filter holds every n-gram of its sample. The filters have so many bits that the language with the most n-grams
+fills at most about a sixth of them.
 """
 
 from __future__ import annotations
@@ -15,17 +16,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.storage import materialize, small_batches
+from palimpsest.llm.storage import small_batches
 
-#: N-gram length, bits of a filter (a power of two), hash places, n-grams kept per language, and the share of the
-#: highest relative frequency that an n-gram must have to count for a language.
-N, BITS, PLACES, PER_LANGUAGE, SHARE = 4, 1 << 19, 3, 20_000, 0.5
-#: The sample bound: about so many labelled documents of each language are learned from, taken by the hash of doc_id.
+#: N-gram length, hash places, and bits of a filter for each n-gram of the language that has the most.
+N, PLACES, BITS_PER_GRAM = 4, 3, 16
+#: The sample bound: about so many labelled documents of each language are learned from, taken by the hash of doc_id. It
+#: bounds the n-grams that reach the driver, and so the filters.
 SAMPLE_DOCS = 3_000
 UNKNOWN = "und"
+#: A text is strange if no learned language knows this share of its n-grams; with fewer n-grams it says too little.
+STRANGE_SHARE, STRANGE_FROM = 0.1, 32
 
 
 @lru_cache(maxsize=1)
@@ -68,32 +71,35 @@ def gram_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     return h[inner], ends, lettered
 
 
-def _places(h: np.ndarray) -> list[np.ndarray]:
-    mask = np.uint64(BITS - 1)
+def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    mask = np.uint64(bits - 1)
     step = (h >> np.uint64(32)) | np.uint64(1)
     return [((h + np.uint64(i) * step) & mask).astype(np.int64) for i in range(PLACES)]
 
 
 class Filters:
-    """The bit-sliced filters: tables of BITS rows, each holding 64 languages."""
+    """The bit-sliced filters: tables with a row for each bit of a filter, each row holding 64 languages."""
 
     def __init__(self, grams: dict[str, np.ndarray], prior: dict[str, int]):
         self.langs = sorted(prior)
-        self.tables = [np.zeros(BITS, np.uint64) for _ in range(-(-len(self.langs) // 64))]
+        self.bits = 1 << max(10, (BITS_PER_GRAM * max(map(len, grams.values()), default=0)).bit_length())
+        self.tables = [np.zeros(self.bits, np.uint64) for _ in range(-(-len(self.langs) // 64))]
         self.false_rate = []
         for i, lang in enumerate(self.langs):
             table, bit = self.tables[i // 64], np.uint64(1 << (i % 64))
-            for rows in _places(grams.get(lang, np.zeros(0, np.uint64))):
+            for rows in _places(grams.get(lang, np.zeros(0, np.uint64)), self.bits):
                 table[rows] |= bit
-            fill = np.count_nonzero(table & bit) / BITS
+            fill = np.count_nonzero(table & bit) / self.bits
             self.false_rate.append(min(0.99, fill**PLACES))
+        self.known = any(map(len, grams.values()))
         self.usual = min(self.langs, key=lambda x: (-prior[x], x)) if self.langs else UNKNOWN
 
-    def decide(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def decide(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """(language, score, whether the text is strange to all learned languages) of each text."""
         hashes, ends, lettered = gram_hashes(texts)
         starts = np.r_[0, ends[:-1]]
         total = np.maximum(ends - starts, 1)
-        rows = _places(hashes)
+        rows = _places(hashes, self.bits)
         scores = np.zeros((len(self.langs), len(texts)))
         for t, table in enumerate(self.tables):
             masks = table[rows[0]]
@@ -116,7 +122,8 @@ class Filters:
             else:
                 langs.append(self.langs[best[k]])
                 sure.append(float(scores[best[k], k] / scores[:, k].sum()))
-        return langs, sure
+        strange = (ends - starts >= STRANGE_FROM) & ~(scores >= STRANGE_SHARE * total).any(0) if self.known else np.zeros(len(texts), bool)
+        return langs, sure, strange.tolist()
 
 
 def fold(doc_id: str = "doc_id"):
@@ -124,20 +131,20 @@ def fold(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
 
 
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), object)
         texts = np.array(batch.column(1).to_pylist(), object)
         for lang in sorted(set(langs)):
-            h, n = np.unique(gram_hashes(texts[langs == lang].tolist())[0], return_counts=True)
-            yield pa.record_batch([pa.array([lang] * len(h)), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+            h = np.unique(gram_hashes(texts[langs == lang].tolist())[0])
+            yield pa.record_batch([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64))], names=["lang", "gram"])
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Filters:
     """Filters from text and lang of the documents outside fold 1.
 
-    Per language about ``sample_docs`` documents are learned from. What reaches the driver is at most PER_LANGUAGE
-    hashes for each language that the labels name."""
+    Per language about ``sample_docs`` documents are learned from. What reaches the driver is the distinct n-grams of
+    these documents for each language that the labels name, 8 bytes each."""
     small_batches(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     known = known.filter("lang is not null and text is not null and doc_id is not null").filter(fold() != 1)
@@ -148,17 +155,12 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Filters:
     # as many rows as languages
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     sample = known.join(F.broadcast(rates), "lang").filter(place < F.col("rate"))
-    counts = sample.select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, n long")
-    counts = materialize(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    rated = counts.join(F.broadcast(total), "lang").withColumn("p", F.col("n") / F.col("total"))
-    top = rated.groupBy("gram").agg(F.max("p").alias("top"))
-    own = rated.join(top, "gram").filter(F.col("p") >= SHARE * F.col("top"))
-    ranked = own.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
-    grams: dict[str, list[int]] = {}
-    for r in ranked.filter(F.col("k") <= PER_LANGUAGE).select("lang", "gram").collect():
-        grams.setdefault(r.lang, []).append(r.gram)
-    return Filters({k: np.array(v, np.int64).view(np.uint64) for k, v in grams.items()}, prior)
+    found = sample.select("lang", "text").mapInArrow(_grams, "lang string, gram long").distinct().toArrow()
+    by_lang = {}
+    langs, hashes = found.column(0).combine_chunks().dictionary_encode(), found.column(1).to_numpy()
+    for i, lang in enumerate(langs.dictionary.to_pylist()):
+        by_lang[lang] = hashes[langs.indices.to_numpy() == i].view(np.uint64)
+    return Filters(by_lang, prior)
 
 
 def _decided(filters: Filters):
@@ -167,7 +169,7 @@ def _decided(filters: Filters):
             langs, sure = [], []
             texts = batch.column(1).to_pylist()
             for k in range(0, len(texts), 250):
-                a, b = filters.decide(texts[k : k + 250])
+                a, b, _ = filters.decide(texts[k : k + 250])
                 langs += a
                 sure += b
             yield pa.record_batch([batch.column(0), pa.array(langs, pa.string()), pa.array(sure, pa.float64())], names=["doc_id", "lang_pred", "score"])
@@ -178,8 +180,8 @@ def _decided(filters: Filters):
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """(doc_id, lang_pred, score): one row per row of ``docs`` (doc_id, text; other columns are ignored).
 
-    ``und`` with score 0 for a null text or one without letters, or where nothing was learned; the most frequent learned
-    language with score 0 where no n-gram is known. score: the language's share of all corrected popcounts. Ties go to
+    Whole texts of any length are read. ``und`` with score 0 for a null text or one without letters, or where nothing was
+    learned; the most frequent learned language with score 0 where no n-gram is known. score: the language's share of all corrected popcounts. Ties go to
     the first language in order. Repeated rows give repeated results; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
@@ -200,13 +202,19 @@ def _spoken(filters: Filters):
             at = batch.schema.get_field_index("text")
             texts, keep = batch.column(at).to_pylist(), []
             for k in range(0, len(texts), 250):
-                keep += [x != UNKNOWN for x in filters.decide(texts[k : k + 250])[0]]
+                langs, _, strange = filters.decide(texts[k : k + 250])
+                keep += [x != UNKNOWN and not y for x, y in zip(langs, strange, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language can be told, all columns kept; null texts and texts without letters go."""
+    """The rows of ``docs`` whose language can be told, all columns kept.
+
+    Null texts, texts without letters and texts of which no learned language knows a tenth of the n-grams, beyond what its
+    filter's false positives explain (an unseen script), go. Texts with too few n-grams to tell stay, and where nothing
+    could be learned every text with a letter. Rows that repeat are judged alike; very long texts are read whole;
+    an empty table gives no rows."""
     small_batches(docs.sparkSession)
     return docs.mapInArrow(_spoken(learn(docs)), docs.schema)

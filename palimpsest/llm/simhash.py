@@ -2,9 +2,9 @@
 
 The 64 bits are four ring segments of 16. If two fingerprints differ in at most 3 bits, then by the pigeonring
 principle some segment starts a chain whose differences over 1, 2, 3 segments stay within l * 3 / 4 rounded down, that
-is 0, 1 and 2. So fingerprints are dealt by (segment number, segment value); inside such a bucket the chains of length
-two and three prune before the full Hamming check. With ``chain_key=2`` the bucket also fixes the next segment (equal,
-or one bit off), which keeps buckets small when there are many millions of fingerprints.
+is 0, 1 and 2. So fingerprints are dealt by (segment number, chain of two segments): a segment's value and the next one's,
+as it is and with each bit off, which keeps buckets small also where many fingerprints share a segment. Inside a bucket the
+chain of three prunes before the full Hamming check. ``chain_key=1`` deals by one segment only, for comparison.
 
 A bucket never emits its pairs: a search from each unvisited fingerprint absorbs all fingerprints within reach and
 links each one to the one that found it, which gives a spanning forest of the bucket's link graph. Equal fingerprints
@@ -28,8 +28,8 @@ from palimpsest.llm.words import blank_words
 SEED, RADIUS, SEGMENTS, WIDTH = 42, 3, 4, 16
 #: Shingle hashes whose bits are counted at once.
 BLOCK = 16_384
-#: From so many distinct fingerprints on, a bucket fixes two segments instead of one; the links found are the same.
-LONG_KEY_FROM = 1 << 23
+#: Segments that a bucket fixes; the links found are the same.
+CHAIN_KEY = 2
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -166,17 +166,16 @@ def fingerprint_links(distinct: DataFrame, chain_key: int) -> DataFrame:
     return rows.mapInArrow(_links_of_sorted, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, chain_key: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, chain_key: int = CHAIN_KEY) -> DataFrame:
     """(doc_id, fp, component_id): one row per document of ``docs`` (doc_id, text; other columns are ignored).
 
     Documents link when their fingerprints differ in at most 3 bits; component_id is the smallest doc_id reachable.
     Null and blank texts have fingerprint 0 and link like any other. Repeated rows give repeated results; a null doc_id
-    is never the smallest unless a component has no other (then component_id is null). An empty table gives no rows.
+    is never the smallest unless a component has no other (then component_id is null). Very long texts are read whole. An
+    empty table gives no rows.
     """
     prints = materialize(fingerprints(docs), "fp")
     first = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp-distinct")
-    if chain_key is None:
-        chain_key = 1 if first.count() < LONG_KEY_FROM else 2
     found = components(fingerprint_links(first.select("fp"), chain_key))
     linked = found.join(first.withColumnRenamed("fp", "node"), "node")
     lowest = linked.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -8,24 +8,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.session import ship
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where the session names no shared folder and runs in one process, as in tests.
 DEFAULT_SHARED = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a default for tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Without it only a local session has one; on a
+    cluster a local folder would be another one on every host, so that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or DEFAULT_SHARED).rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables."""
+    return f"{shared_dir(spark)}/palimpsest-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back: the plan is cut, the rows are durable."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/palimpsest-{label}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables. Results that are still lazy read them, so write those first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: What one Arrow batch to a Python worker may hold; the same for all operators, as plans of one session run later than
 #: they are made. Operators that hold more than a few times a batch regroup rows by bytes themselves.
 BATCH_ROWS, BATCH_BYTES = 1000, 1 << 22

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from palimpsest.llm.pieces import by_bytes, cut, spread
-from palimpsest.llm.storage import shared_dir, small_batches
+from palimpsest.llm.storage import scratch, small_batches
 
 END_ID = 0
 #: Pieces that go to the library as one text, and bytes of text whose distinct pieces are encoded together.
@@ -216,7 +216,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str | None = None) -> str
     """Encode ``docs`` (doc_id, text), write the store and return its path (under the shared folder by default)."""
     spark = docs.sparkSession
     small_batches(spark)
-    path = path or f"{shared_dir(spark)}/palimpsest-tokens-{uuid.uuid4().hex}"
+    path = path or f"{scratch(spark)}/tokens-{uuid.uuid4().hex}"
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_chunked(tokenizer), _ROWS_SQL)
     once = rows.repartition(parts, "route").mapInArrow(_once, _ROWS_SQL)

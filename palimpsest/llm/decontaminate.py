@@ -6,7 +6,8 @@
    that the similarity needs at least.
 3. Equal windows are one class. Window classes and items get 64-bit SimHashes, weighted by shingle weight.
 4. Multi-index: RADIUS + 1 blocks of bits; two fingerprints within RADIUS agree in one block at least (pigeonhole), so
-   equal blocks give all candidates, of which those within RADIUS in all 64 bits stay.
+   equal blocks of windows and items of one size give all candidates, of which those within RADIUS in all 64 bits stay.
+   Which item a window was taken for plays no part in it.
 5. Each candidate is verified: weighted shingle similarity, twice the common weight over the sum of both weights, repeats
    counted, must be 0.8 or more. A shingle's weight is the number of its letters and digits.
 """
@@ -24,7 +25,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Bits that may differ. Weighted vectors at the least similarity allowed lie at an angle of about acos(0.8), for which
 #: 13 of 64 bits are expected to differ; the radius is over three standard deviations beyond that.
 RADIUS = 23
-#: Up to so many benchmark shingles (a few MB) are sent to every task; beyond, they are joined by a shuffle.
+#: Up to so many benchmark shingles (a few MB) are sent to every task and the words around a hit come along; beyond, only
+#: places and hashes are shuffled to the shingles, and the words are fetched for the hits. The rows are the same.
 BROADCAST_SHINGLES = 200_000
 
 
@@ -101,18 +103,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     small = classes.agg(F.sum(F.size("shingles"))).first()[0] <= BROADCAST_SHINGLES
 
     tokenized = docs.select(F.col("doc_id").cast("long"), words(F.col("text").cast("string")).alias("tokens"))
+    tokenized = tokenized.withColumn("text", F.xxhash64("tokens"))
+    whole = tokenized.select(F.col("doc_id").alias("_doc_id"), F.col("text").alias("_text"), "tokens").dropDuplicates(["_doc_id", "_text"])
     met = []
     for size in sizes:
         postings = _places(classes.filter(F.col("size") == size), size, "item", "n_words", "tokens")
         shingle = F.array_join(F.slice("tokens", F.col("p") + 1, size), " ")
         postings = postings.select("h", "item", "n_words", _weight(shingle).alias("w")).dropDuplicates(["h", "item"])
-        found = _places(tokenized, size, "doc_id", "tokens").join(F.broadcast(postings) if small else postings, "h")
+        if small:
+            found = _places(tokenized, size, "doc_id", "text", "tokens").join(F.broadcast(postings), "h")
+        else:
+            found = _places(tokenized, size, "doc_id", "text").join(postings, "h").dropDuplicates(["doc_id", "text", "item", "p"])
+            same = found["doc_id"].eqNullSafe(whole["_doc_id"]) & (found["text"] == whole["_text"])
+            found = found.join(whole, same).drop("_doc_id", "_text")
         first = F.greatest(F.lit(0), F.col("p") - F.col("n_words") + size)
         last = F.least(F.col("p"), F.greatest(F.lit(0), F.size("tokens") - F.col("n_words")))
         around = F.slice("tokens", first + 1, last - first + F.col("n_words"))
         met.append(
             found.select(
-                "doc_id", F.xxhash64("tokens").alias("text"), "item", "n_words", F.lit(size).alias("size"), "p", "w",
+                "doc_id", "text", "item", "n_words", F.lit(size).alias("size"), "p", "w",
                 first.alias("first"), last.alias("last"), around.alias("around"),
             )
         )
@@ -126,9 +135,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     held = held.select(*[F.col(c).alias(f"_{c}") for c in place], "start")
     on = reduce(Column.__and__, [hits[c].eqNullSafe(held[f"_{c}"]) for c in place])
     window = F.slice("around", F.col("start") - F.col("first") + 1, F.col("n_words"))
-    windows = hits.join(held, on).select("doc_id", "start", "item", "size", window.alias("window"))
-    # one row per document, place and window; then equal windows are one class
-    windows = windows.withColumn("win", F.xxhash64("window", "size")).dropDuplicates(["doc_id", "start", "win", "item"])
+    windows = hits.join(held, on).select("doc_id", "start", "n_words", "size", window.alias("window"))
+    # one row per document, place and window; then equal windows of one item size are one class
+    windows = windows.withColumn("win", F.xxhash64("window", "size", "n_words")).dropDuplicates(["doc_id", "start", "win"])
     windows = materialize(windows, "windows")
     texts = windows.select("win", "size", "window").dropDuplicates(["win"])
     texts = texts.select("win", _shingles(F.col("window"), F.least(F.col("size"), F.size("window"))).alias("shingles"))
@@ -137,11 +146,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     window_prints = _simhash(window_bags, "win").select("win", F.col("weight").alias("window_weight"), F.col("fp"))
     item_prints = _simhash(item_bags, "item").select("item", F.col("weight").alias("item_weight"), F.col("fp"))
-    # a window meets only items it shares a shingle with; with others its similarity is 0
-    pairs = windows.select("win", "item").distinct().join(window_prints, "win")
-    left = pairs.select("win", "item", "window_weight", "fp", F.explode(_block_keys()).alias("k"))
-    right = item_prints.select("item", "item_weight", F.col("fp").alias("item_fp"), F.explode(_block_keys()).alias("k"))
-    near = left.join(right, ["item", "k"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    item_prints = item_prints.join(classes.select("item", "n_words"), "item")
+    sized = windows.select("win", "n_words").dropDuplicates(["win"]).join(window_prints, "win")
+    left = sized.select("win", "n_words", "window_weight", "fp", F.explode(_block_keys()).alias("k"))
+    right = item_prints.select("item", "n_words", "item_weight", F.col("fp").alias("item_fp"), F.explode(_block_keys()).alias("k"))
+    near = left.join(right, ["n_words", "k"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     near = near.select("win", "item", "window_weight", "item_weight").distinct()
 
     a = window_bags.select("win", "shingle", F.col("n").alias("n1"), "w")

@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from palimpsest.llm import decontaminate
 
 
@@ -28,7 +30,9 @@ def every_window(rows, items):
     return out
 
 
-def test_decontaminate_tries_every_start(spark):
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST_SHINGLES, 0])
+def test_decontaminate_tries_every_start(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", broadcast)
     rnd = random.Random(11)
     some = lambda n: ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9))) for _ in range(n)]
     passages = [some(n) for n in (12, 30, 45, 60)]

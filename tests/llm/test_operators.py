@@ -271,7 +271,49 @@ def test_language_edges(docs, rows):
     assert langid.identify(none(docs)).count() == 0
     kept = langid.keep_identified(docs)
     assert kept.columns == docs.columns
-    assert kept.count() == sum(any(c.isalpha() for c in x or "") for _, x in rows)
+    grams = brute_grams([(r.lang, r.text) for r in docs.collect() if r.lang and r.text and r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1])
+    stays = [any(c.isalpha() for c in x or "") and not brute_strange(x, grams) for _, x in rows]
+    assert kept.count() == sum(stays)
+
+
+def word_grams(text):
+    words = re.findall(r"[^\W\d_]+", "".join(c if c.isalpha() else " " for c in (text or "").lower()))
+    return [f" {w} "[i : i + 4] for w in words for i in range(len(w) - 1)]
+
+
+def brute_grams(rows):
+    grams = {}
+    for lang, text in rows:
+        grams.setdefault(lang, set()).update(word_grams(text))
+    return grams
+
+
+def brute_strange(text, grams):
+    own = word_grams(text)
+    return len(own) >= langid.STRANGE_FROM and all(sum(g in known for g in own) < langid.STRANGE_SHARE * len(own) for known in grams.values())
+
+
+def test_language_against_whole_sets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    grams = brute_grams([(lang, x) for d, x, lang in rows if lang and x and zlib.crc32(str(d).encode()) % 3 != 1])
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs).collect()}
+    compared = 0
+    for d, x, _ in rows:
+        own = word_grams(x)
+        counts = sorted(((sum(g in known for g in own), lang) for lang, known in grams.items()), reverse=True)
+        # false positives of a filter may turn what is nearly a tie
+        if own and counts[0][0] - counts[1][0] > 0.01 * len(own):
+            compared += 1
+            assert got[d] == counts[0][1]
+    assert compared > 150
+
+
+def test_strange_scripts_go(spark):
+    rows = [(i, "plain words of a language that is known here", "en") for i in range(9)]
+    rows += [(100, "неизвестные слова " * 9, None), (101, "words", None), (104, "слова", None), (102, "a b", None), (103, "1 2 3", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in langid.keep_identified(docs).collect()) == [*range(9), 101, 102, 104]
 
 
 def brute_contaminated(rows, items):
@@ -378,6 +420,25 @@ def test_chat_layouts(spark):
     }
 
 
+def test_chat_layouts_with_further_fields(spark):
+    records = [
+        (1, '{"id": 7, "source": {"name": "x"}, "messages": [{"role": "user", "content": "q", "name": "n"}, {"role": "assistant", "content": "a", "name": "m"}]}'),
+        (2, '{"instruction": "do", "output": "done", "id": 3}'), (3, '{"system": "s", "prompt": "p", "response": "r", "x": [1]}'), (4, '{"prompt": "p"}'),
+    ]
+    mapped = chat.turns_of_records(spark.createDataFrame(records, "conv_id long, record string"))
+    got = {r.conv_id: (r.layout, [t.text for t in r.turns] if r.turns is not None else None) for r in mapped.collect()}
+    assert got == {1: ("messages", ["q", "a"]), 2: ("instruction-short", ["do", "done"]), 3: ("system-prompt", ["s", "p", "r"]), 4: (None, None)}
+    assert tuple(chat.unmapped(mapped).first()) == (4, 1)
+
+
+def test_loss_spans_cut_the_text(spark):
+    rows = [(1, 0, "user", "a<s>"), (1, 1, "assistant", "b</s>\\"), (1, 2, "assistant", ""), (1, 3, "assistant", "🎉[INST]")]
+    made = chat.format_turns(chat.turns_of_rows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    assert chat.read_turns(made).first().loss_texts == ["b</s>\\", "", "🎉[INST]"]
+    moved = made.withColumn("loss_spans", F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), s["end"].alias("end"), s["loss"].alias("loss"))))
+    assert chat.read_turns(moved).first().loss_texts != ["b</s>\\", "", "🎉[INST]"]
+
+
 def test_chat_round_trip(spark):
     rnd = random.Random(6)
     bits = ["<|turn|>", "<|end|>\n", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "\\", "\n", "<", "|", "[", "a", "é", "🎉", "<\\|"]

@@ -24,6 +24,11 @@ def session_date(text: Column | str) -> Column:
     return F.try_to_date(F.replace(F.substring(_col(text), 1, 10), F.lit("/"), F.lit("-")), "yyyy-MM-dd")
 
 
+def lenient_anchor(text: Column | str) -> Column:
+    """The day that a session's date names, with or without weekday and time; null where it names none."""
+    return F.coalesce(F.to_date(session_timestamp(text)), session_date(text))
+
+
 def _month_number(name: Column) -> Column:
     known = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for k in {m, m[:3]} for x in (k, i)])
     return F.try_element_at(known, F.lower(name))
@@ -41,7 +46,7 @@ def _int(text: Column) -> Column:
 def date_in_text(text: Column | str) -> Column:
     """The first ISO date in a text, else the first ``Month d, yyyy``, else null."""
     text = _col(text)
-    iso, named = r"\b(\d{4})[/-](\d{1,2})[/-](\d{1,2})\b", r"\b([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})\b"
+    iso, named = r"\b(\d{4})[/-](\d{1,2})[/-](\d{1,2})\b", r"\b([A-Za-z]+)\s+(\d{1,2}),\s+(\d{4})\b"
     first = _safe_date(*[_int(F.regexp_extract(text, iso, i)) for i in (1, 2, 3)])
     second = _safe_date(_int(F.regexp_extract(text, named, 3)), _month_number(F.regexp_extract(text, named, 1)), _int(F.regexp_extract(text, named, 2)))
     return F.coalesce(first, second)

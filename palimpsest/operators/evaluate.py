@@ -112,3 +112,12 @@ def locate_prefix(needles: DataFrame, texts: DataFrame, needle_id: str, text_id:
 def matched_patterns(text: Column, patterns: list[str]) -> Column:
     """The patterns of a list that a text matches."""
     return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(p)) for p in patterns]))
+
+
+def history_stats(samples: DataFrame) -> DataFrame:
+    """(question_id, sessions, messages, characters, answer_sessions) of each question row with its nested sessions."""
+    flat = F.flatten(F.transform("haystack_sessions", lambda s: F.transform(s, lambda m: F.char_length(F.coalesce(m["content"], F.lit(""))))))
+    return samples.select(
+        "question_id", F.size("haystack_sessions").cast("long").alias("sessions"), F.size(flat).cast("long").alias("messages"),
+        F.aggregate(flat, F.lit(0).cast("long"), lambda a, b: a + b).alias("characters"), F.size("answer_session_ids").cast("long").alias("answer_sessions"),
+    )

@@ -39,7 +39,8 @@ class Rolling:
     budgets: Budgets
     summarize: Summarizer
     summary: str = ""
-    tail: list[tuple[int, str, str]] = field(default_factory=list)  # ordinal, role, rendered text
+    tail: list[tuple] = field(default_factory=list)  # ordinal, role, rendered text, session, header
+    tail_tokens: int = 0
     issue: str | None = None
 
     @staticmethod
@@ -48,7 +49,18 @@ class Rolling:
 
     @property
     def history(self) -> int:
-        return self.tokens(self.summary) + sum(self.tokens(t) for _, _, t in self.tail)
+        return self.tokens(self.summary) + self.tail_tokens
+
+    @staticmethod
+    def _opens(before: tuple | None, message: tuple) -> bool:
+        """Whether a message's header stands before it: in the first message shown and wherever the session changes."""
+        return bool(message[4]) and (before is None or before[3] != message[3])
+
+    def _weigh(self, before: tuple | None, message: tuple) -> int:
+        return self.tokens(message[2]) + (self.tokens(message[4]) if self._opens(before, message) else 0)
+
+    def _sizes(self, messages: list[tuple]) -> list[int]:
+        return [self._weigh(b, m) for b, m in zip([None, *messages], messages, strict=False)]
 
     def cut(self) -> int:
         """Length of the prefix to evict: the shortest that ends with an assistant message and reaches the budget, else
@@ -56,18 +68,21 @@ class Rolling:
         if len(self.tail) <= 1:
             return 0
         total, last = 0, 0
-        for n, (_, role, text) in enumerate(self.tail, 1):
-            total += self.tokens(text)
-            if role == "assistant":
+        for n, (message, size) in enumerate(zip(self.tail, self._sizes(self.tail), strict=True), 1):
+            total += size
+            if message[1] == "assistant":
                 if total >= self.budgets.prefix:
                     return n
                 if n < len(self.tail):
                     last = n
         return last
 
-    def ingest(self, ordinal: int, role: str, text: str) -> dict | None:
-        """Takes a message; gives the record of a compression if one happened."""
-        self.tail.append((ordinal, role, text))
+    def ingest(self, ordinal: int, role: str, text: str, session=None, header: str | None = None) -> dict | None:
+        """Takes a message; gives the record of a compression if one happened. Between compressions the count only grows
+        by the new message."""
+        message = (ordinal, role, text, session, header)
+        self.tail_tokens += self._weigh(self.tail[-1] if self.tail else None, message)
+        self.tail.append(message)
         if role != "assistant" or self.history <= self.budgets.trigger:
             return None
         n = self.cut()
@@ -75,11 +90,13 @@ class Rolling:
             self.issue = "no_legal_assistant_cut"
             return None
         gone, self.tail = self.tail[:n], self.tail[n:]
-        evicted = "\n".join(t for _, _, t in gone)
+        self.tail_tokens = sum(self._sizes(self.tail))
+        shown = [f"{m[4]}\n{m[2]}" if self._opens(b, m) else m[2] for b, m in zip([None, *gone], gone, strict=False)]
+        evicted = "\n".join(shown)
         self.summary, self.issue = self.summarize(self.summary, evicted).strip(), None
         return {
             "at": ordinal, "cut": n, "first_evicted": gone[0][0], "last_evicted": gone[-1][0], "evicted_tokens": self.tokens(evicted),
-            "summary_tokens": self.tokens(self.summary), "tail_tokens": self.history - self.tokens(self.summary),
+            "summary_tokens": self.tokens(self.summary), "tail_tokens": self.tail_tokens,
         }
 
     def finish(self) -> dict:
@@ -99,7 +116,7 @@ def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-def _typed(rows: list[dict], schema: str, key: str, value: int) -> pd.DataFrame:
+def _typed(rows: list[dict], schema: str, key: str, value) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=_names(schema))
     for part in schema.split(", "):
         name, kind = part.split()
@@ -110,7 +127,17 @@ def _typed(rows: list[dict], schema: str, key: str, value: int) -> pd.DataFrame:
 
 def _messages(stream: DataFrame, s: Stream) -> DataFrame:
     ship(stream.sparkSession)
-    return stream.select(F.col(s.key).alias("key"), F.col(s.order).alias("ordinal"), F.col(s.role).alias("role"), rendered(s.role, F.coalesce(s.text, F.lit(""))).alias("line"))
+    session = F.col(s.session).cast("string") if s.session else F.lit(None).cast("string")
+    return stream.select(
+        F.col(s.key).alias("key"), F.col(s.order).alias("ordinal"), F.col(s.role).alias("role"), rendered(s.role, F.coalesce(s.text, F.lit(""))).alias("line"),
+        session.alias("session"), s.header().alias("header"),
+    )
+
+
+def ingest_all(state: Rolling, rows: pd.DataFrame) -> list[dict]:
+    """The compressions that a stream's messages, in order, bring about."""
+    done = [state.ingest(int(m.ordinal), m.role, m.line, m.session, m.header) for m in rows.sort_values("ordinal").itertuples()]
+    return [d for d in done if d]
 
 
 def compressions(stream: DataFrame, budgets: Budgets, summarize: Summarizer | None = None, s: Stream = CONVERSATIONS) -> DataFrame:
@@ -118,13 +145,9 @@ def compressions(stream: DataFrame, budgets: Budgets, summarize: Summarizer | No
     summarize = summarize or keep_summary()
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = Rolling(budgets, summarize), []
-        for m in rows.sort_values("ordinal").itertuples():
-            done = state.ingest(int(m.ordinal), m.role, m.line)
-            out += [done] if done else []
-        return _typed(out, COMPRESSIONS, s.key, rows["key"].iloc[0])
+        return _typed(ingest_all(Rolling(budgets, summarize), rows), COMPRESSIONS, s.key, rows["key"].iloc[0])
 
-    return _messages(stream, s).groupBy("key").applyInPandas(fold, f"{s.key} long, {COMPRESSIONS}")
+    return _messages(stream, s).groupBy("key").applyInPandas(fold, f"{s.key} {s.kind(stream)}, {COMPRESSIONS}")
 
 
 def final_states(stream: DataFrame, budgets: Budgets, summarize: Summarizer | None = None, s: Stream = CONVERSATIONS) -> DataFrame:
@@ -133,11 +156,10 @@ def final_states(stream: DataFrame, budgets: Budgets, summarize: Summarizer | No
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         state = Rolling(budgets, summarize)
-        for m in rows.sort_values("ordinal").itertuples():
-            state.ingest(int(m.ordinal), m.role, m.line)
+        ingest_all(state, rows)
         return _typed([state.finish()], FINAL, s.key, rows["key"].iloc[0])
 
-    return _messages(stream, s).groupBy("key").applyInPandas(fold, f"{s.key} long, {FINAL}")
+    return _messages(stream, s).groupBy("key").applyInPandas(fold, f"{s.key} {s.kind(stream)}, {FINAL}")
 
 
 def first_cut(stream: DataFrame, budgets: Budgets, s: Stream = CONVERSATIONS) -> DataFrame:

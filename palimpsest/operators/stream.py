@@ -22,11 +22,20 @@ class Stream:
     role: str = "role"
     text: str = "text"
     session: str | None = None
+    date: str | None = None
 
     @property
     def window(self):
         return Window.partitionBy(self.key).orderBy(self.order)
 
+    def header(self) -> Column:
+        """The line that opens a message's session; null for streams without dated sessions."""
+        return session_header(self.session, self.date) if self.session and self.date else F.lit(None).cast("string")
+
+    def kind(self, stream: DataFrame) -> str:
+        """The type of the key, whatever the source gives."""
+        return stream.schema[self.key].dataType.simpleString()
+
     def same_session(self) -> Column:
         if self.session is None:
             return F.lit(True)
@@ -34,6 +43,8 @@ class Stream:
 
 
 CONVERSATIONS = Stream()
+#: What ``messages_of_samples`` gives.
+SAMPLES = Stream("question_id", "unit_ordinal", "role", "content", "session_index", "session_date")
 
 
 def messages_of_samples(samples: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import chunk, graph, manager, parse, route_kv
 from palimpsest.operators.stream import Stream
+from palimpsest.session import written
 
 Extractor = Callable[[DataFrame], DataFrame]
 
@@ -39,17 +40,19 @@ def evidence(messages: DataFrame, budget: int, s: Stream) -> DataFrame:
 
 
 def claim_graph(messages: DataFrame, extractor: Extractor, budget: int = 2048, s: Stream | None = None) -> dict[str, DataFrame]:
-    """claims, routes, edges and merged (live edges, one row each) of message streams."""
+    """claims, routes, edges and merged (live edges, one row each) of message streams. The extractor is asked once: its
+    answers, and the edges, are written before anything reads them."""
     cited = evidence(messages, budget, s or Stream())
-    claims = parse.claims(extractor(manager.labelled_chunks(cited)), cited)
-    edges = graph.route_edges(claims)
+    answers = written(extractor(manager.labelled_chunks(cited)), "answers")
+    claims = parse.claims(answers, cited)
+    edges = written(graph.route_edges(claims), "edges")
     return {"claims": claims, "routes": graph.route_statuses(claims), "edges": edges, "merged": graph.merge_edges(graph.live_edges(edges))}
 
 
 def key_value_memory(messages: DataFrame, extractor: Extractor, budget: int = 8192, s: Stream | None = None) -> dict[str, DataFrame]:
     """events, routes and records of message streams."""
     cited = evidence(messages, budget, s or Stream())
-    events = parse.memory_events(extractor(manager.labelled_chunks(cited)), cited)
+    events = parse.memory_events(written(extractor(manager.labelled_chunks(cited)), "answers"), cited)
     routes = route_kv.route_batches(events)
     return {"events": events, "routes": routes, "records": route_kv.records(routes)}
 

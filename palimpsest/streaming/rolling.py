@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from palimpsest.operators.rolling import COMPRESSIONS, Budgets, Rolling, Summarizer, _messages, _typed, keep_summary
+from palimpsest.operators.rolling import COMPRESSIONS, Budgets, Rolling, Summarizer, _messages, _typed, ingest_all, keep_summary
 from palimpsest.operators.stream import CONVERSATIONS, Stream
 
 
@@ -22,14 +22,11 @@ def stream_compressions(stream: DataFrame, budgets: Budgets, summarize: Summariz
         now = Rolling(budgets, summarize)
         if state.exists:
             saved = json.loads(state.get[0])
-            now.summary, now.tail, now.issue = saved["summary"], [tuple(x) for x in saved["tail"]], saved["issue"]
-        rows, out = pd.concat(list(frames)), []
-        for m in rows.sort_values("ordinal").itertuples():
-            done = now.ingest(int(m.ordinal), m.role, m.line)
-            out += [done] if done else []
-        state.update((json.dumps({"summary": now.summary, "tail": now.tail, "issue": now.issue}),))
+            now.summary, now.tail, now.tail_tokens, now.issue = saved["summary"], [tuple(x) for x in saved["tail"]], saved["tokens"], saved["issue"]
+        out = ingest_all(now, pd.concat(list(frames)))
+        state.update((json.dumps({"summary": now.summary, "tail": now.tail, "tokens": now.tail_tokens, "issue": now.issue}),))
         yield _typed(out, COMPRESSIONS, s.key, key[0])
 
     return _messages(stream, s).groupBy("key").applyInPandasWithState(
-        step, f"{s.key} long, {COMPRESSIONS}", "state string", "append", GroupStateTimeout.NoTimeout
+        step, f"{s.key} {s.kind(stream)}, {COMPRESSIONS}", "state string", "append", GroupStateTimeout.NoTimeout
     )

@@ -374,7 +374,7 @@ def test_repairs(spark):
     got = {r.key: (r.attributes, r.evidence_ids) for r in route_versioned.merge_repairs(events, repairs).collect()}
     assert got == {"k": ({"a": "1", "amount": "5"}, [0, 1]), "z": ({"amount": "6"}, [2])}
     checked = route_versioned.validated(repairs.withColumn("target_ref", F.when(F.col("key") == "z", "r-1-1"))).collect()
-    assert {r.key: r.error for r in checked} == {"k": None, "z": "ADD must not contain target_ref"}
+    assert {r.key: r.error for r in checked} == {"k": None, "z": "add_with_target"}
 
 
 # evaluation, store

@@ -12,6 +12,7 @@ the characters of that kind.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,8 +32,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Identifier-like: a number in groups with four digits or more, or an address whose sign is written out.
-_LIKE = re.compile(r"[0-9(][0-9()./ -]{2,30}[0-9]|[A-Za-z0-9._%+-]{1,64}(?:@|\(at\)|\[at\])[A-Za-z0-9.-]{1,64}")
-_AROUND = 80
+_GROUPS = re.compile(r"[0-9()./ -]{4,}")
+_ADDRESS = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@|\(at\)|\[at\])[A-Za-z0-9.-]+")
+_WORD = re.compile(r"\S+")
 
 
 def luhn(digits: str) -> bool:
@@ -76,28 +78,42 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
-def _patterns(text: str, start: int, end: int) -> list[str]:
-    before = text[max(0, start - _AROUND) : start].lower().split()[-2:]
-    after = text[end : end + _AROUND].lower().split()[:1]
+def _patterns(text: str, start: int, end: int, words: list[tuple[int, int]]) -> list[str]:
+    """Contexts of a place; words: where the text's words lie. A word that the place is part of counts up to the place."""
+    k = bisect_left(words, (start,))
+    before = [text[a : min(b, start)].lower() for a, b in words[max(0, k - 2) : k]]
+    k = max(0, bisect_right(words, (end, len(text))) - 1)
+    after = next((text[max(a, end) : b].lower() for a, b in words[k : k + 2] if b > end), None)
     found = []
     if len(before) == 2:
         found.append("<< " + " ".join(before))
     if before and after:
-        found.append(f"< {before[-1]} > {after[0]}")
+        found.append(f"< {before[-1]} > {after}")
     return found
 
 
+def _like(text: str) -> list[tuple[int, int]]:
+    """Identifier-like places, each whole; of an address and a number that overlap the address stays."""
+    out = [m.span() for m in _ADDRESS.finditer(text)]
+    ends = [b for _, b in out]
+    for m in _GROUPS.finditer(text):
+        left = m[0].lstrip(")./ -")
+        body = left.rstrip("()./ -")
+        a = m.end() - len(left)
+        b, k = a + len(body), bisect_right(ends, a)
+        if len(body) >= 4 and sum(map(str.isdigit, body)) >= 4 and (k == len(ends) or out[k][0] >= b):
+            out.append((a, b))
+    return sorted(out)
+
+
 def _others(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
     """Identifier-like places that no base span touches."""
     taken = sorted((a, b) for _, a, b in base)
     out, k = [], 0
-    for m in _LIKE.finditer(text):
-        a, b = m.span()
+    for a, b in _like(text):
         while k < len(taken) and taken[k][1] <= a:
             k += 1
-        if k < len(taken) and taken[k][0] < b:
-            continue
-        if "@" in m[0] or "at" in m[0] or sum(c.isdigit() for c in m[0]) >= 4:
+        if k == len(taken) or taken[k][0] >= b:
             out.append((a, b))
     return out
 
@@ -119,8 +135,9 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             base = base_spans(text)
             bases.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in base])
             places = [*base, *((None, a, b) for a, b in _others(text, base))]
+            words = [m.span() for m in _WORD.finditer(text)] if places else []
             founds.append(
-                [{"kind": k, "start": a, "end": b, "instance": text[a:b].lower(), "patterns": _patterns(text, a, b)} for k, a, b in places]
+                [{"kind": k, "start": a, "end": b, "instance": text[a:b].lower(), "patterns": _patterns(text, a, b, words)} for k, a, b in places]
             )
         yield pa.record_batch(
             [batch.column(0), batch.column(1), pa.array(bases, pa.list_(_SPAN)), pa.array(founds, pa.list_(_FOUND))],

@@ -487,8 +487,15 @@ def useful_terms(spark, sf_dir):
 
 
 def queries() -> dict:
+    _register()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _register()
     return dict(SQL)
+
+
+def _register() -> None:
+    """The second module of queries adds its own to these."""
+    from palimpsest.plans import catalogue_text  # noqa: F401

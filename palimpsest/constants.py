@@ -7,9 +7,6 @@ ACTIONS = ("ADD", "UPDATE", "NOOP")
 MEMORY_TYPES = ("fact", "preference", "event", "plan", "assistant_fact")
 ACTIVE_STATUSES = ("active", "planned", "completed")
 
-# Versioned records.
-VERSIONED_OPS = ("ADD", "PATCH", "REPLACE")
-
 # Surface relations and the predicate each one stands for.
 RELATIONS = {
     "PURCHASED": ("bought", "purchase", "purchased"),
@@ -25,18 +22,22 @@ RELATIONS = {
     "USES": ("uses", "use"),
     "DOWNLOADED": ("downloaded", "download"),
 }
+# Predicates by how their facts are told apart.
 OCCURRENCE_PREDICATES = ("PURCHASED", "DOWNLOADED", "ATTENDED", "COMPLETED", "OBSERVED", "OBSERVED_WAKE_TIME", "MENTIONS", "USES")
 NUMERIC_PREDICATES = ("PURCHASED", "ATTENDED", "COMPLETED", "OBSERVED", "OBSERVED_WAKE_TIME")
 FUNCTIONAL_PREDICATES = ("TARGET", "PREFERS", "PLANS", "LOCATED_IN")
 DONE_PREDICATES = ("PURCHASED", "ATTENDED", "COMPLETED")
+# Words that name a category.
 CATEGORY_HINTS = {
     "grocery": ("grocery", "groceries", "chicken", "beef", "produce", "organic", "food", "meal", "snack", "pantry", "dairy", "vegetable", "fruit"),
 }
+# Words of a question that match no fact.
 STOP_WORDS = (
     "what which where when how many much did do i my the a an of to in on at for from and or is are was were have has had "
     "been be between past last total number most least highest lowest money spent days time long online"
 ).split()
 CONTEXT_STOP_WORDS = ("the", "and", "or", "to", "in", "of", "is", "a", "an")
+# Phrases that say that something changed.
 UPDATE_PHRASES = (
     r"\bchanged\b.+\bto\b",
     r"\bupdated\s+to\b",
@@ -44,9 +45,13 @@ UPDATE_PHRASES = (
     r"\bno\s+longer\b.+\binstead\b",
     r"\bcorrected\b.+\bto\b",
 )
+# Nouns that are counted.
 COUNT_NOUNS = "courses? coins? items? days? plants? albums? books? graduations? events? trips? nights?".split()
+# Currency signs.
 CURRENCIES = {"$": "USD", "€": "EUR", "£": "GBP"}
+# Months and weekdays.
 MONTHS = "january february march april may june july august september october november december".split()
 WEEKDAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
+# Thresholds.
 KEY_DRIFT_SIMILARITY = 0.82
 NEAR_UNITS = 32

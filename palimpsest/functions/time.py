@@ -46,6 +46,7 @@ def _int(text: Column) -> Column:
 def date_in_text(text: Column | str) -> Column:
     """The first ISO date in a text, else the first ``Month d, yyyy``, else null."""
     text = _col(text)
+    # The forms of written dates.
     iso, named = r"\b(\d{4})[/-](\d{1,2})[/-](\d{1,2})\b", r"\b([A-Za-z]+)\s+(\d{1,2}),\s+(\d{4})\b"
     first = _safe_date(*[_int(F.regexp_extract(text, iso, i)) for i in (1, 2, 3)])
     second = _safe_date(_int(F.regexp_extract(text, named, 3)), _month_number(F.regexp_extract(text, named, 1)), _int(F.regexp_extract(text, named, 2)))
@@ -64,6 +65,7 @@ def resolve_phrase(phrase: Column | str, anchor: Column | str) -> Column:
     last year; [about] n days, weeks, months or years ago (clamped to the month's end); last <weekday>, strictly before.
     """
     text, anchor = F.lower(F.trim(_col(phrase))), _col(anchor).cast("date")
+    # The phrases that are understood.
     month = r"^([a-z]+)\s+(\d{1,2})(?:st|nd|rd|th)?(?:,?\s*(\d{4}))?$"
     full = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, i)])
     number = F.try_element_at(full, F.regexp_extract(text, month, 1))

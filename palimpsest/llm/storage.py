@@ -34,6 +34,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``materialize`` that nothing reads any more: only once what was made from it is written itself."""
+    folder = df.inputFiles()[0].rpartition("/")[0]
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(spark: SparkSession) -> None:
     """Delete this application's intermediate tables. Results that are still lazy read them, so write those first."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark))

@@ -46,7 +46,7 @@ def canonical(host: Column, path: Column) -> Column:
     """The listed form of a URL: host without a leading www., path without trailing slashes; scheme, query and fragment
     play no part. Null without a host."""
     bare = F.regexp_replace(host, r"^www\.", "")
-    return F.when(host != "", F.concat(bare, F.regexp_replace(path, "/+$", "")))
+    return F.when(host != "", F.concat(bare, F.rtrim(path, F.lit("/"))))
 
 
 def _bits(key: Column, blocks: int) -> tuple[Column, Column]:
@@ -86,10 +86,9 @@ def best_rule(host: Column, path: Column, rules) -> Column:
     if not table:
         return F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
     known = F.create_map(*[c for k, (size, rule, verdict) in table.items() for c in (F.lit(k), F.struct(F.lit(size).alias("size"), F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict")))])
-    labels = F.split(host, r"\.")
-    count = F.size(labels)
-    # the longest host first
-    suffixes = F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(labels, i, count - i + 1), "."))
+    # the host's last labels, as many as rules have, the longest first; substring_index gives the whole host if it has fewer
+    most = max(rule_host.count(".") + 1 for _, rule_host, _ in rules)
+    suffixes = F.array_distinct(F.array(*[F.substring_index(host, ".", -n) for n in range(most, 0, -1)]))
     lengths = sorted({len(p) for _, _, p in rules})
     heads = F.array_compact(F.array(*[F.when(F.char_length(path) >= n, F.substring(path, 1, n)) for n in lengths]))
     found = F.array_compact(F.flatten(F.transform(suffixes, lambda s: F.transform(heads, lambda p: F.try_element_at(known, F.concat(s, F.lit("\n"), p))))))

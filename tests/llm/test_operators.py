@@ -401,6 +401,16 @@ def test_url_edges(spark):
     assert url_filter.judge_urls(none(pages), listed).count() == 0
 
 
+def test_url_of_a_megabyte(spark):
+    """Hosts and paths of half a million labels or slashes, judged whole and in linear time."""
+    host, slashes = "a." * 500_000, "/" * 500_000
+    urls = [f"x://{host}example.com/en/q", f"x://{host}net/fr/", f"x://{host}org/p", f"x://y.org/{slashes}z{slashes}", "x://com/", "x://example.com.org/en/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = spark.createDataFrame([(f"q://{host}org/p/",), (f"q://y.org/{slashes}z",)], "url string")
+    got = [(r.rule, r.verdict, r.listed) for r in url_filter.judge_urls(pages, listed).orderBy("page_id").collect()]
+    assert got == [("example.com/en/", "block", False), ("net/fr/", "block", False), (None, "block", True), (None, "block", True), ("com/", "allow", False), (None, "allow", False)]
+
+
 def test_chat_layouts(spark):
     records = [
         (1, '{"messages": [{"role": "user", "content": "a <|turn|> b"}, {"role": "assistant", "content": null}]}'),

@@ -354,14 +354,48 @@ def occurrence_key(spark, sf_dir):
     return _claims(spark, sf_dir).select("sample", "seq", key.alias("key"))
 
 
-@query()
+#: A day's claims of one user and object are a place: the first is an edge with the exact key, others of its unit join it, and of
+#: the rest the first of each amount is an edge that later ones of that amount join, if they are at most 32 units away.
+_ROUTED = f"""{_CLAIMS}, k AS (SELECT *, unit // 50 AS u, object = 'signup' AS fun, substr(sha256(array_to_string(['user', CASE WHEN object = 'signup' THEN 'PREFERS' ELSE 'PURCHASED' END, object, CAST(day AS VARCHAR), chr(0), 'day', provider, chr(0), chr(0)], chr(1))), 1, 24) AS key FROM c),
+f AS (SELECT *, first_value(seq) OVER w AS s0, first_value(u) OVER w AS u0 FROM k WINDOW w AS (PARTITION BY sample, day, object ORDER BY seq)),
+x AS (SELECT *, seq <> s0 AND u = u0 AS exact FROM f),
+m AS (SELECT *, first_value(seq) OVER w AS maker, abs(u - first_value(u) OVER w) <= 32 AS near FROM x WINDOW w AS (PARTITION BY sample, day, object, exact, amount ORDER BY seq)),
+t AS (SELECT *, CASE WHEN fun THEN seq WHEN exact THEN s0 WHEN near THEN maker ELSE seq END AS made FROM m),
+r AS (SELECT *, made <> seq AND NOT exact AS alias, CASE WHEN fun OR seq = s0 THEN 'applied' WHEN exact OR made <> seq THEN 'joined' ELSE 'applied_ambiguous_occurrence' END AS how,
+      row_number() OVER (PARTITION BY made, amount ORDER BY seq) = 1 AS new_amount, row_number() OVER (PARTITION BY made, u ORDER BY seq) = 1 AS new_unit FROM t),
+q AS (SELECT *, CASE WHEN how <> 'joined' THEN '' WHEN exact AND new_amount THEN 'conflicts.amount' WHEN alias AND new_unit THEN 'refs' ELSE '' END AS merged FROM r),
+e AS (SELECT sample, seq AS made, object, amount, CASE WHEN fun THEN 'active' ELSE 'completed' END AS status, CASE WHEN how = 'applied' AND NOT fun THEN key END AS occurrence_key FROM q WHERE made = seq),
+i AS (SELECT *, substr(sha256(array_to_string([CAST(sample AS VARCHAR), CAST(made AS VARCHAR), coalesce(occurrence_key, 'None'), status], chr(1))), 1, 24) AS edge_id FROM e)"""
+
+
+@query(f"""WITH {_ROUTED} SELECT q.sample, q.seq, CASE WHEN how <> 'joined' THEN how ELSE 'deduplicated' || CASE WHEN alias THEN '_alias' ELSE '' END || CASE WHEN merged <> '' THEN '_merged' ELSE '' END END AS route_status,
+i.edge_id, CASE WHEN how = 'applied' THEN NULL WHEN how <> 'joined' THEN 'ambiguous_day' WHEN alias THEN 'provider_suffix_same_source' ELSE 'exact_key' END AS dedupe_rule, merged FROM q JOIN i ON i.made = q.made""")
 def claim_routes(spark, sf_dir):
-    return graph.route_statuses(_claims(spark, sf_dir))
+    routes = graph.route_statuses(_claims(spark, sf_dir))
+    return routes.withColumn("merged", F.array_join("merged_fields", ",")).drop("merged_fields")
 
 
-@query()
+@query(f"""WITH {_ROUTED} SELECT i.sample, i.edge_id, i.made AS seq, i.object, i.amount, i.status, i.occurrence_key, n.n_refs FROM i JOIN (SELECT made, count(DISTINCT u) AS n_refs FROM q GROUP BY made) n ON n.made = i.made""")
 def claim_edges(spark, sf_dir):
-    return graph.route_edges(_claims(spark, sf_dir)).select("sample", "edge_id", "seq", "object", "amount", "status", "occurrence_key", F.size("refs").alias("n_refs"))
+    return graph.route_edges(_claims(spark, sf_dir)).select("sample", "edge_id", "seq", "object", "amount", "status", "occurrence_key", F.size("refs").cast("long").alias("n_refs"))
+
+
+#: A user's plan by scope: what a claim replaces, contradicts or repeats.
+_PLANS = """c AS (SELECT user_id AS sample, event_id AS seq, 's' || CAST(user_id % 3 AS VARCHAR) || CAST(event_id % 4 AS VARCHAR) AS scope, CAST(event_id // 7 % 3 AS VARCHAR) AS object, event_type = 'purchase' AS replaces FROM events),
+n AS (SELECT *, replaces AND row_number() OVER (PARTITION BY sample, scope ORDER BY seq) > 1 AS begins FROM c),
+p AS (SELECT *, sum(CAST(begins AS INT)) OVER (PARTITION BY sample, scope ORDER BY seq) AS epoch, max(CAST(begins AS INT) * seq) OVER (PARTITION BY sample, scope ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) > 0 AS gone FROM n),
+d AS (SELECT a.sample, a.seq, bool_or(b.object <> a.object AND b.seq < a.seq) AS differs, bool_or(b.object <> a.object) AS odd FROM p a JOIN p b USING (sample, scope, epoch) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_PLANS} SELECT sample, seq, CASE WHEN begins THEN 'superseded' WHEN differs THEN 'conflict' ELSE 'applied' END AS route_status,
+CASE WHEN coalesce(gone, false) THEN 'superseded' WHEN odd THEN 'contradicted' ELSE 'active' END AS status FROM p JOIN d USING (sample, seq)""")
+def functional_routes(spark, sf_dir):
+    n, user = F.col("seq"), F.col("sample")
+    claims = _claims(spark, sf_dir).withColumns({
+        "predicate": F.lit("PREFERS"), "object": F.pmod(F.floor(n / 7), F.lit(3)).cast("string"), "intent": F.when(F.col("object") == "purchase", "replace").otherwise("unknown"),
+        "scope": F.concat(F.lit("s"), (user % 3).cast("string"), (n % 4).cast("string")),
+    })
+    return graph.routed_claims(claims).select("sample", "seq", "route_status", "status")
 
 
 @query(f"""WITH {_CLAIMS} SELECT sample, object, day, min(seq) AS seq, count(DISTINCT unit // 50) AS n_refs FROM c GROUP BY 1, 2, 3""")

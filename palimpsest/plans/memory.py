@@ -40,13 +40,14 @@ def evidence(messages: DataFrame, budget: int, s: Stream) -> DataFrame:
 
 
 def claim_graph(messages: DataFrame, extractor: Extractor, budget: int = 2048, s: Stream | None = None) -> dict[str, DataFrame]:
-    """claims, routes, edges and merged (live edges, one row each) of message streams. The extractor is asked once: its
-    answers, and the edges, are written before anything reads them."""
+    """claims, routes, edges and merged (live edges, one row each) of message streams. The extractor is asked once and claims
+    are routed once: answers, routed claims and edges are written before anything reads them."""
     cited = evidence(messages, budget, s or Stream())
     answers = written(extractor(manager.labelled_chunks(cited)), "answers")
     claims = parse.claims(answers, cited)
-    edges = written(graph.route_edges(claims), "edges")
-    return {"claims": claims, "routes": graph.route_statuses(claims), "edges": edges, "merged": graph.merge_edges(graph.live_edges(edges))}
+    routed = written(graph.routed_claims(claims), "routed")
+    edges = written(graph.edges_of(routed), "edges")
+    return {"claims": claims, "routes": graph.statuses_of(routed), "edges": edges, "merged": graph.merge_edges(graph.live_edges(edges))}
 
 
 def key_value_memory(messages: DataFrame, extractor: Extractor, budget: int = 8192, s: Stream | None = None) -> dict[str, DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.contain import containing_pairs
 from palimpsest.operators.evaluate import latest_attempts, matched_patterns
 
 
@@ -17,14 +18,15 @@ def matching_events(messages: DataFrame, events: DataFrame, prefix: int = 100) -
     """(sample, unit_ordinal, event_ordinal, how): events that read a message: its ordinal is among the event's sources, or
     the event's input holds the message's first characters, ignoring case.
 
-    messages: sample, unit_ordinal, content; events: sample, event_ordinal, source_units (array), input_text. Both rules
-    join on the sample; the first also on the ordinal."""
+    messages: sample, unit_ordinal, content; events: sample, event_ordinal, source_units (array), input_text. The first rule
+    is an equi-join, the second a containment join by rare anchors within a sample."""
     sources = events.select("sample", "event_ordinal", F.explode("source_units").alias("unit_ordinal"))
     by_source = messages.select("sample", "unit_ordinal").join(sources, ["sample", "unit_ordinal"]).withColumn("how", F.lit("source"))
     head = F.lower(F.substring(F.trim("content"), 1, prefix))
-    asked = messages.select("sample", "unit_ordinal", head.alias("head")).filter("head <> ''")
-    by_text = asked.join(events.select("sample", "event_ordinal", F.lower("input_text").alias("body")), "sample").filter(F.contains("body", F.col("head")))
-    by_text = by_text.select("sample", "unit_ordinal", "event_ordinal", F.lit("text").alias("how"))
+    asked = messages.select("sample", F.col("unit_ordinal").alias("needle_id"), head.alias("needle"))
+    read = events.select("sample", F.col("event_ordinal").alias("text_id"), F.lower("input_text").alias("body"))
+    by_text = containing_pairs(asked, read, ["sample"])
+    by_text = by_text.select("sample", F.col("needle_id").alias("unit_ordinal"), F.col("text_id").alias("event_ordinal"), F.lit("text").alias("how"))
     both = by_source.select("sample", "unit_ordinal", "event_ordinal", "how").union(by_text)
     return both.groupBy("sample", "unit_ordinal", "event_ordinal").agg(F.min("how").alias("how"))
 

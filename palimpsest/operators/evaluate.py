@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.contain import containing_pairs
+
 
 def latest_attempts(samples: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key by the order columns, from one aggregate rather than a sort."""
@@ -82,31 +82,14 @@ def evidence_diagnostics(messages: DataFrame) -> DataFrame:
 
 def locate_prefix(needles: DataFrame, texts: DataFrame, needle_id: str, text_id: str, lengths: tuple[int, int] = (120, 60)) -> DataFrame:
     """(needle_id, text_id, length): texts that hold the first 120 characters of a needle, ignoring case, or else its first
-    60. Needles are a query set.
-
-    Anchors are up to three inner words of the needle's first 60 characters (the outer ones may be cut by a text's own
-    words); a text meets a needle only where it holds the anchor. Needles without inner words meet every text."""
-    head = F.lower(F.substring(F.col("text"), 1, lengths[1]))
-    words = F.filter(F.split(head, r"\s+"), lambda w: w != "")
-    inner = F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.least(F.lit(3), F.size(words) - 2))).otherwise(F.array().cast("array<string>"))
-    asked = needles.filter("text is not null").select(
-        F.col(needle_id), F.lower(F.substring("text", 1, lengths[0])).alias("long"), head.alias("short"), F.xxhash64(F.array_join(inner, " ")).alias("h"), F.size(inner).alias("k")
-    )
-    body = texts.select(F.col(text_id), F.lower("text").alias("body"), F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("w"))
-    met = []
-    for k in sorted(r["k"] for r in asked.select("k").distinct().collect()):  # at most four values
-        own = asked.filter(F.col("k") == k)
-        if k == 0:
-            met.append(body.join(own, F.contains("body", F.col("short"))).select(needle_id, text_id, "body", "long", "short"))
-            continue
-        at = body.filter(F.size("w") >= k).select(text_id, "body", "w", F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("p"))
-        at = at.select(text_id, "body", F.xxhash64(F.concat_ws(" ", *[F.col("w")[F.col("p") + i] for i in range(k)])).alias("h"))
-        met.append(at.join(own, "h").select(needle_id, text_id, "body", "long", "short"))
-    if not met:
-        return asked.select(needle_id).join(texts.select(text_id), F.lit(False)).withColumn("length", F.lit(0))
-    found = reduce(DataFrame.unionByName, met)
-    length = F.when(F.contains("body", F.col("long")), lengths[0]).when(F.contains("body", F.col("short")), lengths[1])
-    return found.withColumn("length", length).filter("length is not null").groupBy(needle_id, text_id).agg(F.max("length").alias("length"))
+    60, found by a containment join of the latter. Null and empty needles are in no text; ids are unique."""
+    heads = [F.lower(F.substring(F.col("text"), 1, n)) for n in lengths]
+    asked = needles.select(F.col(needle_id).alias("needle_id"), heads[1].alias("needle"))
+    held = texts.select(F.col(text_id).alias("text_id"), F.lower("text").alias("body"))
+    found = containing_pairs(asked, held, [])
+    long = needles.select(F.col(needle_id).alias("needle_id"), heads[0].alias("long"))
+    length = F.when(F.contains("body", F.col("long")), lengths[0]).otherwise(lengths[1])
+    return found.join(long, "needle_id").select(F.col("needle_id").alias(needle_id), F.col("text_id").alias(text_id), length.alias("length"))
 
 
 def matched_patterns(text: Column, patterns: list[str]) -> Column:

@@ -6,13 +6,11 @@ text; equal text is equal value.
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.constants import ACTIVE_STATUSES, KEY_DRIFT_SIMILARITY
+from palimpsest.operators.similar import similar_pairs
 
 KEY = ("sample", "key")
 ORDER = ("batch", "item")
@@ -88,18 +86,15 @@ def with_key_drift(routed: DataFrame) -> DataFrame:
     """Adds ``drift_key`` to updates without a target and turns their status to ``rejected_key_drift`` where a key that
     was active before resembles theirs (ratio of matching blocks 0.82 or more; ties to the older key).
 
-    Only these updates meet the keys of their sample, in Arrow batches."""
+    Distinct keys of these updates meet distinct keys of their sample in a similarity join; events follow by their key."""
     lost = routed.filter("route_status = 'rejected_update_missing_target'").select("sample", "key", *ORDER)
     made = routed.filter("route_status = 'applied'").groupBy(*KEY).agg(F.min(F.struct(*ORDER)).alias("since"))
     made = made.withColumnRenamed("key", "candidate")
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    pairs = lost.join(made, "sample").filter(F.col("since.batch") < F.col("batch")).withColumn("score", ratio("key", "candidate"))
+    alike = similar_pairs(lost.select("sample", F.col("key").alias("a")), made.select("sample", F.col("candidate").alias("b")), "sample", KEY_DRIFT_SIMILARITY)
+    alike = alike.withColumnsRenamed({"a": "key", "b": "candidate"}).join(made, ["sample", "candidate"])
+    pairs = lost.join(alike, ["sample", "key"]).filter(F.col("since.batch") < F.col("batch"))
     rank = F.struct(F.col("score"), -F.col("since.batch"), -F.col("since.item"))
-    best = pairs.filter(F.col("score") >= KEY_DRIFT_SIMILARITY).groupBy("sample", "key", *ORDER).agg(F.max_by("candidate", rank).alias("drift_key"))
+    best = pairs.groupBy("sample", "key", *ORDER).agg(F.max_by("candidate", rank).alias("drift_key"))
     out = routed.join(best, ["sample", "key", *ORDER], "left")
     return out.withColumn("route_status", F.when(F.col("drift_key").isNotNull(), "rejected_key_drift").otherwise(F.col("route_status")))
 

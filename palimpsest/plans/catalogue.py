@@ -195,9 +195,38 @@ def kv_route_batches(spark, sf_dir):
     return route_kv.route_batches(_memory_events(spark, sf_dir)).select("sample", "key", "batch", "item", "route_status")
 
 
-@query()
+#: The same events over three keys a type; every other update has lost a letter of its key.
+_DRIFTING = """e0 AS (SELECT *, event_type || '.' || ['preference', 'location', 'next_meeting'][CAST(event_id // 3 % 3 AS INT) + 1] AS whole FROM events),
+ev AS (SELECT user_id AS sample, CASE WHEN event_id % 2 = 1 AND event_id % 7 <> 0 AND event_id % 3 = 0 THEN substr(whole, 1, CAST(event_id % 11 + 1 AS BIGINT)) || substr(whole, CAST(event_id % 11 + 3 AS BIGINT)) ELSE whole END AS key,
+  CAST(floor(epoch(ts) / 86400) AS BIGINT) AS batch, event_id AS item, CASE WHEN event_id % 7 = 0 THEN 'NOOP' WHEN event_id % 3 = 0 THEN 'UPDATE' ELSE 'ADD' END AS action,
+  CASE WHEN event_id % 11 < 9 THEN 'fact' ELSE 'event' END AS memory_type, CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR) AS value FROM e0)"""
+#: The ratio of matching blocks, block by block: the longest, the first in a and then in b of equal ones, then both sides of it.
+_DRIFT = f"""WITH RECURSIVE {_BATCHED.replace(_EVENTS, _DRIFTING)},
+lost AS (SELECT sample, key, batch, item FROM q WHERE NOT dup AND action = 'UPDATE' AND NOT applied AND t IS NULL),
+made AS (SELECT sample, key AS candidate, min(batch) AS b0, min(item) AS i0 FROM q WHERE applied GROUP BY 1, 2),
+pair AS (SELECT DISTINCT key AS a, candidate AS b FROM lost JOIN made USING (sample)),
+cell AS (SELECT a, b, i, unnest(range(1, length(b) + 1)) AS j FROM (SELECT a, b, unnest(range(1, length(a) + 1)) AS i FROM pair)),
+run AS (SELECT a, b, i, j, len(list_filter(range(1, least(length(a) - i, length(b) - j) + 2), lambda n: substr(a, i, n) = substr(b, j, n))) AS l FROM cell),
+block AS (
+  SELECT a, b, CAST(1 AS BIGINT) AS a1, CAST(length(a) AS BIGINT) AS a2, CAST(1 AS BIGINT) AS b1, CAST(length(b) AS BIGINT) AS b2, CAST(0 AS BIGINT) AS k FROM pair
+  UNION ALL
+  SELECT a, b, CASE WHEN side = 0 THEN a1 ELSE m.i + m.k END, CASE WHEN side = 0 THEN m.i - 1 ELSE a2 END, CASE WHEN side = 0 THEN b1 ELSE m.j + m.k END, CASE WHEN side = 0 THEN m.j - 1 ELSE b2 END, CASE WHEN side = 0 THEN m.k ELSE 0 END
+  FROM (SELECT a, b, a1, a2, b1, b2, arg_max({{'i': CAST(i AS BIGINT), 'j': CAST(j AS BIGINT), 'k': CAST(n AS BIGINT)}}, n * 1000000 - i * 1000 - j) AS m
+        FROM (SELECT x.*, i, j, least(l, a2 - i + 1, b2 - j + 1) AS n FROM block x JOIN run r ON r.a = x.a AND r.b = x.b AND i BETWEEN a1 AND a2 AND j BETWEEN b1 AND b2 WHERE l > 0) GROUP BY a, b, a1, a2, b1, b2), (VALUES (0), (1)) s(side)
+), ratio AS (SELECT a, b, 2.0 * sum(k) / (length(a) + length(b)) AS score FROM block GROUP BY a, b)
+SELECT sample, key, batch, item, arg_max(candidate, score * 1e12 - i0) AS drift_key FROM lost JOIN made USING (sample) JOIN ratio ON a = key AND b = candidate WHERE b0 < batch AND score >= 0.82 GROUP BY 1, 2, 3, 4"""
+
+
+@query(_DRIFT)
 def kv_key_drift(spark, sf_dir):
-    found = route_kv.with_key_drift(route_kv.route_batches(_memory_events(spark, sf_dir)))
+    n = F.col("event_id")
+    word = F.element_at(F.array(*map(F.lit, ("preference", "location", "next_meeting"))), (F.floor(n / 3) % 3 + 1).cast("int"))
+    whole = F.concat("event_type", F.lit("."), word)
+    at = (n % 11).cast("int")
+    torn = F.concat(F.substring(whole, F.lit(1), at + 1), F.substring(whole, at + 3, F.lit(100)))
+    keys = table(spark, sf_dir, "events").select(n.alias("item"), F.when((n % 2 == 1) & (n % 7 != 0) & (n % 3 == 0), torn).otherwise(whole).alias("key"))
+    events = _memory_events(spark, sf_dir).drop("key").join(keys, "item")
+    found = route_kv.with_key_drift(route_kv.route_batches(events))
     return found.filter("drift_key is not null").select("sample", "key", "batch", "item", "drift_key")
 
 

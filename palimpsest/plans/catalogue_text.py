@@ -92,18 +92,17 @@ def matching_messages(spark, sf_dir):
     return rows.select("question_id", F.col("unit_ordinal").cast("long").alias("unit_ordinal"), "matched")
 
 
-@query(f"WITH {_SAMPLES} SELECT question_id, unit_ordinal FROM m WHERE unit_ordinal % 5 = 0 OR (unit_ordinal % 7 = 3 AND trim(content) <> '')")
+@query(f"""WITH {_SAMPLES}, ev AS (SELECT question_id, unit_ordinal // 6 AS event_ordinal, string_agg(content, chr(10) ORDER BY unit_ordinal) AS input_text FROM m GROUP BY 1, 2)
+SELECT m.question_id, m.unit_ordinal, CAST(e.event_ordinal AS BIGINT) AS event_ordinal, CASE WHEN m.unit_ordinal % 5 = 0 AND m.unit_ordinal // 6 = e.event_ordinal THEN 'source' ELSE 'text' END AS how FROM m JOIN ev e USING (question_id)
+WHERE (m.unit_ordinal % 5 = 0 AND m.unit_ordinal // 6 = e.event_ordinal) OR (trim(m.content) <> '' AND contains(lower(e.input_text), lower(substr(trim(m.content), 1, 100))))""")
 def matching_events(spark, sf_dir):
     messages = stream.messages_of_samples(_samples(spark, sf_dir)).withColumnRenamed("question_id", "sample").withColumn("unit_ordinal", F.col("unit_ordinal").cast("long"))
-    none = F.array().cast("array<bigint>")
-    by_unit = messages.filter("unit_ordinal % 5 = 0").select("sample", F.col("unit_ordinal").alias("event_ordinal"), F.array("unit_ordinal").alias("source_units"), F.lit("").alias("input_text"))
-    # the text names the message itself, so that no other one is read by chance
-    told = messages.withColumn("content", F.concat(F.lit("m"), F.col("unit_ordinal").cast("string"), F.lit(" "), F.col("content")))
-    by_text = told.filter("unit_ordinal % 7 = 3").select("sample", F.col("unit_ordinal").alias("event_ordinal"), none.alias("source_units"), F.upper(F.concat(F.lit("x "), F.substring("content", 1, 100))).alias("input_text"))
-    blank = messages.filter(F.trim("content") == "").select("sample", "unit_ordinal")
-    found = audit.matching_events(told, by_unit.unionByName(by_text)).filter("event_ordinal = unit_ordinal")
-    dropped = blank.filter("unit_ordinal % 5 <> 0")
-    return found.join(dropped, ["sample", "unit_ordinal"], "left_anti").select(F.col("sample").alias("question_id"), "unit_ordinal")
+    row = F.struct("unit_ordinal", "content")
+    chunks = messages.groupBy("sample", F.floor(F.col("unit_ordinal") / 6).alias("event_ordinal")).agg(F.array_sort(F.collect_list(row)).alias("r"))
+    said = F.array_join(F.transform("r", lambda m: m["content"]), "\n")
+    units = F.filter(F.transform("r", lambda m: m["unit_ordinal"]), lambda u: u % 5 == 0)
+    events = chunks.select("sample", "event_ordinal", said.alias("input_text"), units.alias("source_units"))
+    return audit.matching_events(messages, events).withColumnRenamed("sample", "question_id")
 
 
 @query("SELECT event_id, '[e' || CAST(event_id % 9 AS VARCHAR) || '][user] ' || event_type AS label FROM events")

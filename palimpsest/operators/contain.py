@@ -63,7 +63,8 @@ def containing_pairs(needles: DataFrame, texts: DataFrame, on: list[str]) -> Dat
     asked = needles.filter("needle <> ''").withColumn("kind", _kind("needle"))
     only = sorted(r["kind"] for r in asked.select("kind").distinct().collect())  # seven kinds at most
     if not only:
-        return needles.join(texts.select(*on, "text_id", "body"), on, "inner").filter("false") if on else needles.join(texts, F.lit(False))
+        none = needles.join(texts.select(*on, "text_id", "body"), on) if on else needles.join(texts, F.lit(False))
+        return none.filter("false").select(*on, "needle_id", "text_id", "needle", "body")
     parts = [_anchors(asked.filter(F.col("kind") == k), [*on, "needle_id"], "needle", True, k) for k in only]
     anchors = written(reduce(DataFrame.unionByName, parts), "anchors")
     wanted = anchors.select(*on, "kind", "h").distinct()

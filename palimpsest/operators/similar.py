@@ -4,8 +4,8 @@ The ratio is 2M / (characters of both), M being the characters in matching block
 least M characters are shared as multisets, and that at least 3M - (characters of both) - 1 bigrams are: a gap between two
 blocks holds a character that doesn't match, and costs a bigram. So at a ratio of t strings of n and m characters share
 at least t(n + m)/2 characters and (1.5t - 1)(n + m) - 1 bigrams. Two sets that share that many members share one among the
-first few of each in any common order, and the rarest come first here: each string is dealt by these, pairs that meet are held
-against the bound on characters, and those that are left are compared.
+first few of each in any common order, and the rarest come first here: each string is dealt by these. Pairs that meet are held
+against the bound on characters where they meet, by length and by the parity of their letters, and what is left is compared.
 """
 
 from __future__ import annotations
@@ -35,6 +35,12 @@ def _numbered(parts: Column) -> Column:
     return F.transform(parts, lambda x, i: F.concat(F.size(F.filter(F.slice(parts, F.lit(1), i + 1), lambda y: y == x)).cast("string"), F.lit(":"), x))
 
 
+def _parity(chars: Column) -> Column:
+    """64 bits, one for each hash of a character: set if an odd number of characters has it."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))
+    return F.aggregate(chars, F.lit(0).cast("long"), lambda x, c: x.bitwiseXOR(bit(c)))
+
+
 def least_partner(n: int, ratio: float) -> int:
     """The fewest characters that a string similar to one of n characters has."""
     return math.ceil(n * ratio / (2 - ratio) - _EPS)
@@ -83,12 +89,17 @@ def similar_pairs(left: DataFrame, right: DataFrame, group: str, ratio: float) -
     left, right = (df.select(group, c).filter(F.col(c).isNotNull()).distinct() for df, c in ((left, "a"), (right, "b")))
     strings = left.select(F.col("a").alias("s")).union(right.select(F.col("b").alias("s"))).distinct()
     tokens = written(_signatures(strings, ratio), "similar-tokens")
-    a, b = left.join(tokens, F.col("a") == F.col("s")).drop("s"), right.join(tokens, F.col("b") == F.col("s")).drop("s")
-    met = written(a.join(b, [group, "token"]).select(group, "a", "b").distinct(), "similar-met")
-    both = F.char_length("a") + F.char_length("b")
+    spelled = strings.select("s", _chars(F.col("s")).alias("chars")).select("s", F.size("chars").alias("n"), _parity(F.col("chars")).alias("odd"))
+    tokens = tokens.join(spelled, "s")
+    a = left.join(tokens, F.col("a") == F.col("s")).select(group, "token", "a", F.col("n").alias("n1"), F.col("odd").alias("odd1"))
+    b = right.join(tokens, F.col("b") == F.col("s")).select(group, "token", "b", F.col("n").alias("n2"), F.col("odd").alias("odd2"))
+    both = F.col("n1") + F.col("n2")
     need = F.ceil(both * F.lit(ratio / 2) - _EPS)
-    fits = F.least(F.char_length("a"), F.char_length("b")) >= need
-    pairs = met.select("a", "b").distinct().filter(fits)
+    # bits that differ are at most the characters that only one of the strings has
+    fits = (F.least("n1", "n2") >= need) & (F.bit_count(F.col("odd1").bitwiseXOR(F.col("odd2"))) <= both - 2 * need)
+    met = written(a.join(b, [group, "token"]).filter(fits).select(group, "a", "b").distinct(), "similar-met")
+    need = F.ceil((F.char_length("a") + F.char_length("b")) * F.lit(ratio / 2) - _EPS)
+    pairs = met.select("a", "b").distinct()
     spelled = pairs.select("a", "b", need.alias("need"), _chars(F.col("a")).alias("x"), _chars(F.col("b")).alias("y"))
     close = spelled.filter(F.size(F.array_intersect(_numbered(F.col("x")), _numbered(F.col("y")))) >= F.col("need")).select("a", "b")
 

@@ -40,15 +40,15 @@ def test_similar_pairs_equal_all_pairs(spark, ratio):
 
 
 def test_similar_pairs_of_many_keys(spark):
-    """20,000 keys on either side, 400 million pairs: few of them meet."""
+    """5,000 keys on either side, 25 million pairs: few of them are compared."""
     rnd = random.Random(5)
-    keys = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(16)) for _ in range(20_000)]
+    keys = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(16)) for _ in range(5_000)]
     torn = [k[:5] + k[6:] for k in keys]
     a, b = (spark.createDataFrame([("one", k) for k in ks], f"g string, {n} string") for ks, n in ((torn, "a"), (keys, "b")))
-    found = similar.similar_pairs(a, b, "g", 0.82)
-    assert found.count() >= 20_000
+    found = similar.similar_pairs(a, b, "g", 0.82).cache()
+    assert found.count() >= 5_000
     assert found.filter("score < 0.82").count() == 0
-    assert found.join(spark.createDataFrame(list(zip(torn, keys, strict=True)), "a string, b string"), ["a", "b"]).count() == 20_000
+    assert found.join(spark.createDataFrame(list(zip(torn, keys, strict=True)), "a string, b string"), ["a", "b"]).count() == 5_000
 
 
 def brute(needles, texts):

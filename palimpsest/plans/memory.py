@@ -45,7 +45,7 @@ def claim_graph(messages: DataFrame, extractor: Extractor, budget: int = 2048, s
     cited = evidence(messages, budget, s or Stream())
     answers = written(extractor(manager.labelled_chunks(cited)), "answers")
     claims = parse.claims(answers, cited)
-    routed = written(graph.routed_claims(claims), "routed")
+    routed = graph.routed_claims(claims)
     edges = written(graph.edges_of(routed), "edges")
     return {"claims": claims, "routes": graph.statuses_of(routed), "edges": edges, "merged": graph.merge_edges(graph.live_edges(edges))}
 

@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import rendered, token_count
-from palimpsest.operators.stream import CONVERSATIONS, Stream
+from palimpsest.functions.text import rendered
+from palimpsest.operators.stream import CONVERSATIONS, Stream, prefix_tokens
 from palimpsest.session import ship
 
 #: (summary so far, evicted text) -> new summary.
@@ -164,9 +164,10 @@ def final_states(stream: DataFrame, budgets: Budgets, summarize: Summarizer | No
 
 def first_cut(stream: DataFrame, budgets: Budgets, s: Stream = CONVERSATIONS) -> DataFrame:
     """(key, at, cut): each stream's first compression, in windows: the first assistant message over the trigger, and of
-    the messages up to it the first legal cut that reaches the prefix budget, else the last one before it."""
+    the messages up to it the first legal cut that reaches the prefix budget, else the last one before it. Headers of
+    sessions count, as in the fold."""
     n = F.row_number().over(s.window)
-    rows = stream.select(s.key, F.col(s.order).alias("at"), s.role, n.alias("n"), F.sum(token_count(rendered(s.role, s.text))).over(s.window).alias("cum"))
+    rows = prefix_tokens(stream, s).select(s.key, F.col(s.order).alias("at"), s.role, n.alias("n"), F.col("prefix_tokens").alias("cum"))
     answer = F.col(s.role) == "assistant"
     trigger = rows.filter(answer & (F.col("cum") > budgets.trigger)).groupBy(s.key).agg(F.min("n").alias("last"), F.min("at").alias("at"))
     upto = rows.drop("at").join(trigger, s.key).filter(F.col("n") <= F.col("last"))

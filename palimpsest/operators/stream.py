@@ -41,6 +41,17 @@ class Stream:
             return F.lit(True)
         return F.lag(self.session).over(self.window).eqNullSafe(F.col(self.session))
 
+    def opened(self) -> Column:
+        """The header that stands before a message: of the stream's first one and wherever the session changes; else null."""
+        if not (self.session and self.date):
+            return F.lit(None).cast("string")
+        first = F.row_number().over(self.window) == 1
+        return F.when(first | ~self.same_session(), self.header())
+
+    def message_tokens(self) -> Column:
+        """Tokens of the rendered message, without a header."""
+        return token_count(rendered(self.role, F.coalesce(F.col(self.text), F.lit(""))))
+
 
 CONVERSATIONS = Stream()
 #: What ``messages_of_samples`` gives.
@@ -98,16 +109,18 @@ def legal_cuts(stream: DataFrame, s: Stream = CONVERSATIONS) -> DataFrame:
 
 
 def prefix_tokens(stream: DataFrame, s: Stream = CONVERSATIONS) -> DataFrame:
-    """Adds ``tokens`` of each rendered message and their running sum ``prefix_tokens``."""
-    return stream.withColumn("tokens", token_count(rendered(s.role, s.text))).withColumn("prefix_tokens", F.sum("tokens").over(s.window))
+    """Adds ``tokens`` of each rendered message, with the header that opens its session, and their running sum
+    ``prefix_tokens``."""
+    tokens = s.message_tokens() + token_count(s.opened())
+    return stream.withColumn("tokens", tokens).withColumn("prefix_tokens", F.sum("tokens").over(s.window))
 
 
 def tail_by_turns(stream: DataFrame, budget: int, s: Stream = CONVERSATIONS) -> DataFrame:
     """The messages of the last whole turn units that fit the budget; the newest units come first, none is cut."""
-    units = turn_units(prefix_tokens(stream, s), s)
+    units = turn_units(stream.withColumn("tokens", s.message_tokens()), s)
     # the sum from the end up to and with all of this message's unit
     from_end = Window.partitionBy(s.key).orderBy(F.desc("unit")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return units.withColumn("_behind", F.sum("tokens").over(from_end)).filter(F.col("_behind") <= budget).drop("_behind", "prefix_tokens")
+    return units.withColumn("_behind", F.sum("tokens").over(from_end)).filter(F.col("_behind") <= budget).drop("_behind")
 
 
 def tail_by_tokens(stream: DataFrame, budget: int, s: Stream = CONVERSATIONS) -> DataFrame:

@@ -122,6 +122,22 @@ def test_first_cut_is_the_folds_first(spark):
     assert {r.conv_id: (r.at, r.cut) for r in rolling.first_cut(df, budgets).collect()} == folded
 
 
+def test_first_cut_counts_the_headers_of_dated_sessions(spark):
+    rnd = random.Random(9)
+    rows = []
+    for q in range(25):
+        session = 0
+        for k in range(rnd.randint(1, 24)):
+            session += rnd.random() < 0.3
+            rows.append((f"q{q}", k, session, f"2023/05/{session + 1:02} (Mon) 10:00", "user" if k % 2 == 0 else "assistant", " ".join(["w"] * rnd.randint(0, 9))))
+    df = spark.createDataFrame(rows, "question_id string, unit_ordinal long, session_index long, session_date string, role string, content string")
+    budgets, folded = rolling.Budgets(70, 30), {}
+    for r in rolling.compressions(df, budgets, s=stream.SAMPLES).orderBy("at").collect():
+        folded.setdefault(r.question_id, (r.at, r.cut))
+    assert {r.question_id: (r.at, r.cut) for r in rolling.first_cut(df, budgets, stream.SAMPLES).collect()} == folded
+    assert len(folded) > 5
+
+
 def test_stream_gives_what_batch_gives(spark, tmp_path):
     from palimpsest.streaming.rolling import stream_compressions
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from palimpsest.functions.text import evidence_label, json_object
 from palimpsest.functions.time import lenient_anchor, session_date
 from palimpsest.operators import audit, evaluate, graph, manager, parse, project, route_kv, route_versioned, stream
 from palimpsest.plans.catalogue import query
-from palimpsest.session import table
+from palimpsest.session import fresh_path, table
 from palimpsest.sources import files, store
 
 
@@ -365,15 +363,9 @@ def final_state(spark, sf_dir):
     return audit.final_state(log.unionByName(ends).drop("last"))
 
 
-def _parent(spark, label: str) -> str:
-    """A new folder beside the engine's written tables."""
-    named = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    return f"{named}/palimpsest-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-
-
 @query("SELECT user_id AS sample, event_type AS record_ref, max(event_id) AS version, max_by(CAST(floor(value) AS BIGINT), event_id) AS value FROM events GROUP BY 1, 2")
 def store_view(spark, sf_dir):
-    kept = store.Store(spark, _parent(spark, "store"))
+    kept = store.Store(spark, fresh_path(spark, "store"))
     rows = _events(spark, sf_dir).select(F.col("user_id").alias("sample"), F.col("event_type").alias("record_ref"), F.col("event_id").alias("version"), F.floor("value").cast("long").alias("value"))
     for part in range(3):
         kept.append("records", rows.filter(F.col("version") % 3 == part))
@@ -382,7 +374,7 @@ def store_view(spark, sf_dir):
 
 @query("SELECT user_id AS sample, event_id AS batch, event_type FROM events WHERE event_id % 4 < 2")
 def idempotent_batches(spark, sf_dir):
-    kept = store.Store(spark, _parent(spark, "store"))
+    kept = store.Store(spark, fresh_path(spark, "store"))
     rows = _events(spark, sf_dir).select(F.col("user_id").alias("sample"), F.col("event_id").alias("batch"), "event_type")
     for part in (0, 1, 1, 0):
         kept.append_batch(part, batches=rows.filter(F.col("batch") % 4 == part))
@@ -391,7 +383,7 @@ def idempotent_batches(spark, sf_dir):
 
 @query("SELECT event_id, event_type, user_id FROM events WHERE event_id % 9 = 0")
 def json_lines_round_trip(spark, sf_dir):
-    path = _parent(spark, "lines")
+    path = fresh_path(spark, "lines")
     files.write_json_lines(_events(spark, sf_dir).select("event_id", "event_type", "user_id"), path)
     rows = files.json_lines(spark, path, "event_id long, event_type string, user_id long")
     wanted = _events(spark, sf_dir).filter("event_id % 9 = 0").select("event_id")
@@ -401,7 +393,7 @@ def json_lines_round_trip(spark, sf_dir):
 @query("SELECT DISTINCT 'q' || CAST(user_id AS VARCHAR) AS question_id FROM events")
 def manifest_ids(spark, sf_dir):
     rows = _events(spark, sf_dir).select(F.concat(F.lit("q"), F.col("user_id").cast("string")).alias("question_id"), "event_type", "event_id")
-    paths = [_parent(spark, "manifest") for _ in range(2)]
+    paths = [fresh_path(spark, "manifest") for _ in range(2)]
     files.write_manifest(rows.filter("event_id % 2 = 0"), paths[0])
     files.write_manifest(rows.filter("event_id % 2 = 1"), paths[1])
     return files.claimed_ids(spark, *paths)

@@ -55,13 +55,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once and read back, so that what made it runs once: under spark.checkpoint.dir, which the cluster's
-    hosts share, or, in a local session that names none, under /tmp/checkpoints."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new path of this application under spark.checkpoint.dir, which the cluster's hosts share, or, in a local session
+    that names none, under /tmp/checkpoints; on a cluster the setting is required."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{(named or '/tmp/checkpoints').rstrip('/')}/palimpsest-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return f"{(named or '/tmp/checkpoints').rstrip('/')}/palimpsest-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once under a ``fresh_path`` and read back, so that what made it runs once."""
+    path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

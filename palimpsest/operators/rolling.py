@@ -56,11 +56,13 @@ class Rolling:
         """Whether a message's header stands before it: in the first message shown and wherever the session changes."""
         return bool(message[4]) and (before is None or before[3] != message[3])
 
-    def _weigh(self, before: tuple | None, message: tuple) -> int:
-        return self.tokens(message[2]) + (self.tokens(message[4]) if self._opens(before, message) else 0)
+    @classmethod
+    def weigh(cls, before: tuple | None, message: tuple) -> int:
+        """Tokens that a message adds behind another one, its session's header included."""
+        return cls.tokens(message[2]) + (cls.tokens(message[4]) if cls._opens(before, message) else 0)
 
     def _sizes(self, messages: list[tuple]) -> list[int]:
-        return [self._weigh(b, m) for b, m in zip([None, *messages], messages, strict=False)]
+        return [self.weigh(b, m) for b, m in zip([None, *messages], messages, strict=False)]
 
     def cut(self) -> int:
         """Length of the prefix to evict: the shortest that ends with an assistant message and reaches the budget, else
@@ -81,10 +83,14 @@ class Rolling:
         """Takes a message; gives the record of a compression if one happened. Between compressions the count only grows
         by the new message."""
         message = (ordinal, role, text, session, header)
-        self.tail_tokens += self._weigh(self.tail[-1] if self.tail else None, message)
+        self.tail_tokens += self.weigh(self.tail[-1] if self.tail else None, message)
         self.tail.append(message)
         if role != "assistant" or self.history <= self.budgets.trigger:
             return None
+        return self.compress(ordinal)
+
+    def compress(self, ordinal: int) -> dict | None:
+        """Cuts the tail and gives the record of it; None if no cut is legal."""
         n = self.cut()
         if n == 0:
             self.issue = "no_legal_assistant_cut"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators.contain import containing_pairs
+from palimpsest.operators.select import nth_values, smallest
 
 
 def latest_attempts(samples: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -15,10 +16,9 @@ def latest_attempts(samples: DataFrame, keys: list[str], order: list[str]) -> Da
 
 
 def upper_median(rows: DataFrame, value: str, *keys: str) -> DataFrame:
-    """(keys, median): the element at n // 2 of the sorted values, by rank, so no group is gathered in an array."""
-    w, total = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(value)
-    ranked = rows.filter(F.col(value).isNotNull()).select(*keys, value, F.row_number().over(total).alias("k"), F.count("*").over(w).alias("n"))
-    return ranked.filter(F.col("k") == F.floor(F.col("n") / 2) + 1).select(*keys, F.col(value).alias("median"))
+    """(keys, median): the element at n // 2 of the sorted values, selected by histograms, so no group is sorted."""
+    found = nth_values(rows, value, list(keys), lambda g: g.withColumn("k", F.floor(F.col("n") / 2)))
+    return found.select(*keys, F.col("value").alias("median"))
 
 
 def run_statistics(samples: DataFrame) -> DataFrame:
@@ -53,11 +53,9 @@ def stratified_quotas(rows: DataFrame, stratum: str, size: int) -> DataFrame:
 
 
 def stratified_pick(rows: DataFrame, key: str, stratum: str, size: int, seed: int = 0) -> DataFrame:
-    """(key, stratum): exactly ``size`` rows by the quotas, the same ones for the same seed whatever the partitioning."""
-    place = Window.partitionBy(stratum).orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256), key)
-    quotas = stratified_quotas(rows, stratum, size)
-    ranked = rows.select(key, F.col(stratum).alias("stratum"), F.row_number().over(place).alias("k"))
-    return ranked.join(F.broadcast(quotas), "stratum").filter("k <= quota").select(key, "stratum")
+    """(key, stratum): exactly ``size`` rows by the quotas (all, if there are fewer), the same ones for the same seed whatever
+    the partitioning; null is a stratum. No stratum is sorted: the pick is a selection by rank."""
+    return smallest(rows, key, stratum, seed, stratified_quotas(rows, stratum, size))
 
 
 def profile(messages: DataFrame, key: str, text: str) -> DataFrame:

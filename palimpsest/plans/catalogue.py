@@ -497,6 +497,11 @@ def latency_median(spark, sf_dir):
     return evaluate.upper_median(latest, "latency", "run")
 
 
+@query("SELECT l_returnflag, list_sort(list(l_extendedprice))[len(list(l_extendedprice)) // 2 + 1] AS median FROM lineitem GROUP BY 1")
+def price_median(spark, sf_dir):
+    return evaluate.upper_median(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_returnflag")
+
+
 @query("""WITH j AS (SELECT d.lang AS kind, CASE WHEN l.quality = 1 THEN 1 ELSE 0 END AS y FROM labels l JOIN documents d USING (doc_id))
 SELECT kind, count(*) AS total, CAST(sum(y) AS BIGINT) AS correct, round(avg(y), 9) AS accuracy FROM j GROUP BY GROUPING SETS ((kind), ())""")
 def judge_summary(spark, sf_dir):

@@ -565,5 +565,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _register() -> None:
-    """The second module of queries adds its own to these."""
-    from palimpsest.plans import catalogue_text  # noqa: F401
+    """The other modules of queries add theirs to these."""
+    from palimpsest.plans import catalogue_search, catalogue_text  # noqa: F401

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import route_kv, snapshots
-from palimpsest.plans.catalogue import _BATCHED, _EVENTS, _memory_events, query
+from palimpsest.functions.text import rendered
+from palimpsest.operators import chunk, fit, route_kv, snapshots, stream
+from palimpsest.plans.catalogue import _BATCHED, _EVENTS, _IMMEDIATE, _UNITS, _memory_events, query
+from palimpsest.session import table
 
 _ROUTED = f"""{_BATCHED}, r AS (SELECT *, CASE WHEN dup THEN 'rejected_duplicate_key_in_batch' WHEN action = 'NOOP' THEN 'noop' WHEN applied THEN 'applied'
   WHEN action = 'ADD' AND cur = value THEN 'deduplicated' WHEN action = 'ADD' AND memory_type = 'event' THEN 'rejected_ambiguous_occurrence_key' WHEN action = 'ADD' THEN 'rejected_add_conflict'
@@ -51,3 +53,52 @@ def kv_resumed(spark, sf_dir):
     common = snapshots.agreed(snapshots.input_chain(old), snapshots.input_chain(events))
     out = snapshots.resumed(events, route_kv.route_batches(old), common)
     return out.select("sample", "key", "batch", "item", "route_status", F.col("superseded_by.item").alias("superseded_by"))
+
+
+#: Limits to try, and the budgets of a prompt and of an answer.
+LIMITS, BUDGET, CONTEXT, RESERVE = chunk.degraded_limits(640, 480), 110, 90, 10
+
+_LIMITS = ", ".join(f"({i}, {n}, {k})" for i, (n, k) in enumerate(LIMITS, 1))
+_LISTED = f"""{_IMMEDIATE}, p AS (SELECT DISTINCT user_id AS sample, 5 + user_id % 60 AS fixed FROM events),
+rec AS (SELECT sample, item, key || ' is ' || value || ' since ' || batch AS line, row_number() OVER (PARTITION BY sample ORDER BY item DESC) AS place FROM r WHERE applied AND superseded_by IS NULL),
+led AS (SELECT sample, item, key || ' was ' || value AS line, row_number() OVER (PARTITION BY sample, key ORDER BY item DESC) AS place FROM r WHERE superseded_by IS NOT NULL),
+lim(choice, nr, nu) AS (VALUES {_LIMITS}),
+sz AS (
+  SELECT sample, choice, nr, nu, fixed + coalesce((SELECT sum(len(string_split(line, ' '))) FROM rec WHERE rec.sample = p.sample AND place <= nr), 0)
+    + coalesce((SELECT sum(len(string_split(line, ' '))) FROM led WHERE led.sample = p.sample AND place <= nu), 0) AS base FROM p, lim
+), ch AS (SELECT * FROM sz WHERE base <= {BUDGET} OR choice = {len(LIMITS)} QUALIFY row_number() OVER (PARTITION BY sample ORDER BY choice) = 1)"""
+
+
+def _listed(spark, sf_dir):
+    """(prompts, records, ledger) from each user's memory."""
+    memory = route_kv.records(route_kv.route_immediate(_memory_events(spark, sf_dir)))
+    prompts = table(spark, sf_dir, "events").select(F.col("user_id").alias("sample")).distinct().withColumn("fixed", 5 + F.col("sample") % 60)
+    records = route_kv.active_records(memory).select("sample", F.col("item").alias("seq"), F.concat("key", F.lit(" is "), "value", F.lit(" since "), F.col("batch").cast("string")).alias("line"))
+    ledger = memory.filter("status = 'superseded'").select("sample", "key", F.col("item").alias("seq"), F.concat("key", F.lit(" was "), "value").alias("line"))
+    return prompts, records, ledger
+
+
+@query(f"""WITH {_LISTED}, {_UNITS},
+u AS (SELECT conv_id AS sample, unit, turn, line, sum(tokens) OVER (PARTITION BY conv_id ORDER BY unit DESC) AS behind, tokens FROM units),
+tl AS (SELECT u.sample, string_agg(line, chr(10) ORDER BY unit, turn) AS tail, count(DISTINCT unit) AS units, sum(tokens) AS t FROM u JOIN ch ON ch.sample = u.sample WHERE behind <= {BUDGET} - base GROUP BY 1)
+SELECT ch.sample, choice, coalesce((SELECT string_agg(line, chr(10) ORDER BY item) FROM rec WHERE rec.sample = ch.sample AND place <= nr), '') AS memory,
+  coalesce((SELECT string_agg(line, chr(10) ORDER BY item) FROM led WHERE led.sample = ch.sample AND place <= nu), '') AS ledger,
+  coalesce(tail, '') AS tail, coalesce(units, 0) AS units, CAST(base + coalesce(t, 0) AS BIGINT) AS tokens, base <= {BUDGET} AS fits FROM ch LEFT JOIN tl ON tl.sample = ch.sample""")
+def context_fit(spark, sf_dir):
+    """Each user's memory, ledger and the tail of the conversation of that number, under one budget."""
+    talk = stream.turn_units(table(spark, sf_dir, "conversations"))
+    tail = talk.select(F.col("conv_id").alias("sample"), "unit", F.col("turn").alias("place"), rendered("role", "text").alias("line"))
+    return fit.fitted_context(*_listed(spark, sf_dir), tail, LIMITS, BUDGET)
+
+
+@query(f"""WITH {_LISTED}, {_UNITS}, m AS (SELECT sample, string_agg(line, chr(10) ORDER BY item) AS memory, sum(len(string_split(line, ' '))) AS mt FROM rec GROUP BY 1),
+tl AS (SELECT conv_id AS sample, string_agg(line, chr(10) ORDER BY turn) AS tail FROM units GROUP BY 1),
+cx AS (SELECT p.sample, coalesce(memory, '') AS memory, coalesce(tail, '') AS tail, list_filter(regexp_split_to_array(coalesce(tail, ''), '\\s+'), lambda x: x <> '') AS ws, {CONTEXT - RESERVE} - fixed - coalesce(mt, 0) AS room
+  FROM p LEFT JOIN m ON m.sample = p.sample LEFT JOIN tl ON tl.sample = p.sample)
+SELECT sample, memory, CASE WHEN room <= 0 THEN '' WHEN len(ws) <= room THEN tail ELSE array_to_string(ws[-CAST(room AS BIGINT):], ' ') END AS tail, CAST(greatest(0, least(len(ws), room)) AS BIGINT) AS tail_tokens, room >= 0 AS fits FROM cx""")
+def memory_then_tail(spark, sf_dir):
+    """Each user's whole memory, and of the conversation of that number the last tokens for which there is room."""
+    prompts, records, _ = _listed(spark, sf_dir)
+    lines = records.groupBy("sample").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "\n").alias("memory"))
+    tails = stream.transcripts(table(spark, sf_dir, "conversations")).select(F.col("conv_id").alias("sample"), F.col("transcript").alias("tail"))
+    return fit.memory_then_tail(prompts.join(lines, "sample", "left").join(tails, "sample", "left"), CONTEXT, RESERVE)

@@ -566,4 +566,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _register() -> None:
     """The other modules of queries add theirs to these."""
-    from palimpsest.plans import catalogue_search, catalogue_state, catalogue_text  # noqa: F401
+    from palimpsest.plans import catalogue_answers, catalogue_search, catalogue_state, catalogue_text  # noqa: F401

@@ -86,17 +86,35 @@ def rolling_first_cut(spark, sf_dir):
     return rolling.first_cut(_talk(spark, sf_dir), BUDGETS)
 
 
-@query()
+#: Message by message: n messages are in, the tail starts at message s; a cut takes the messages from s0.
+_ROLLED = f"""{_LINES}, c AS (
+  SELECT conv_id, list(turn ORDER BY turn) AS turns, list(role ORDER BY turn) AS roles, list(CAST(tokens AS BIGINT) ORDER BY turn) AS toks,
+    list(CASE WHEN clean = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(clean, ' ') END ORDER BY turn) AS ws, count(*) AS m FROM tok GROUP BY 1
+), f AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS n, CAST(1 AS BIGINT) AS s, CAST([] AS VARCHAR[]) AS summary, CAST(NULL AS BIGINT) AS cut, CAST(1 AS BIGINT) AS s0, CAST(NULL AS VARCHAR) AS issue FROM c
+  UNION ALL
+  SELECT conv_id, n + 1, s + coalesce(k, 0), CASE WHEN k IS NULL THEN summary ELSE (summary || flatten(ws[s:s + k - 1]))[-20:] END, k, s, CASE WHEN full_ THEN CASE WHEN k IS NULL THEN 'no_legal_assistant_cut' END ELSE issue END
+  FROM (SELECT *, CASE WHEN full_ AND n + 1 > s THEN coalesce(list_min(list_filter(range(s, n + 2), lambda j: roles[j] = 'assistant' AND list_sum(toks[s:j]) >= {BUDGETS.prefix})),
+      list_max(list_filter(range(s, n + 1), lambda j: roles[j] = 'assistant'))) - s + 1 END AS k
+    FROM (SELECT f.*, c.roles, c.toks, c.ws, c.roles[n + 1] = 'assistant' AND len(summary) + list_sum(c.toks[s:n + 1]) > {BUDGETS.trigger} AS full_ FROM f JOIN c ON c.conv_id = f.conv_id WHERE n < m))
+)"""
+
+
+@query(f"""WITH RECURSIVE {_ROLLED} SELECT c.conv_id, turns[n] AS "at", cut, turns[s0] AS first_evicted, turns[s0 + cut - 1] AS last_evicted, CAST(list_sum(toks[s0:s0 + cut - 1]) AS BIGINT) AS evicted_tokens,
+len(summary) AS summary_tokens, CAST(coalesce(list_sum(toks[s:n]), 0) AS BIGINT) AS tail_tokens FROM f JOIN c ON c.conv_id = f.conv_id WHERE cut IS NOT NULL""")
 def rolling_compressions(spark, sf_dir):
     return rolling.compressions(_talk(spark, sf_dir), BUDGETS)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ROLLED} SELECT c.conv_id, array_to_string(summary, ' ') AS summary, len(summary) AS summary_tokens, CASE WHEN s <= m THEN turns[s] END AS tail_first, m - s + 1 AS tail_messages,
+CAST(len(summary) + coalesce(list_sum(toks[s:m]), 0) AS BIGINT) AS history_tokens, CASE WHEN s <= m AND roles[m] = 'user' THEN coalesce(issue, 'terminal_unpaired_user') ELSE issue END AS issue
+FROM f JOIN c ON c.conv_id = f.conv_id WHERE n = m""")
 def rolling_final(spark, sf_dir):
     return rolling.final_states(_talk(spark, sf_dir), BUDGETS)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ROLLED}, last AS (SELECT c.conv_id, unnest(turns[s:m]) AS turn FROM f JOIN c ON c.conv_id = f.conv_id WHERE n = m)
+SELECT conv_id, turn, role FROM last JOIN conversations USING (conv_id, turn)""")
 def rolling_tail(spark, sf_dir):
     talk = _talk(spark, sf_dir)
     return rolling.true_tails(talk, rolling.compressions(talk, BUDGETS)).select("conv_id", "turn", "role")

@@ -71,8 +71,15 @@ def build_index(rows: DataFrame, key: str, text: str, attributes: tuple[str, ...
         return c * (1 << 40) + F.pmod(F.xxhash64(doc), F.element_at(parts, c))
 
     units = stored(sized.withColumn("block", block(F.col("len"), F.col("doc"))), "units")
-    placed = rows.select(F.col(key).alias("doc"), words(text).alias("w")).select("doc", F.size("w").cast("long").alias("len"), F.posexplode("w").alias("p", "term"))
-    grouped = placed.withColumn("block", block(F.col("len"), F.col("doc"))).groupBy("term", "block", "doc", "len").agg(F.array_sort(F.collect_list("p")).alias("positions"))
+    # a unit's words are grouped where the unit is read, by sorting its own array, so no word is shuffled
+    held = rows.select(F.col(key).alias("doc"), words(text).alias("w")).filter(F.size("w") > 0)
+    held = held.select("doc", F.array_sort(F.transform("w", lambda t, i: F.struct(t.alias("t"), i.alias("p")))).alias("s"))
+    at = lambda i: F.element_at("s", i)["t"]
+    held = held.withColumn("from", F.filter(F.sequence(F.lit(1), F.size("s")), lambda i: (i == 1) | (at(i) != at(F.greatest(i - 1, F.lit(1))))))
+    until = lambda j: F.coalesce(F.try_element_at("from", j + 2), F.size("s") + 1)
+    runs = F.transform("from", lambda i, j: F.struct(at(i).alias("term"), F.transform(F.slice("s", i, until(j) - i), lambda x: x["p"]).alias("positions")))
+    grouped = held.select("doc", F.size("s").cast("long").alias("len"), F.explode(runs).alias("r")).select("r.term", "doc", "len", "r.positions")
+    grouped = grouped.withColumn("block", block(F.col("len"), F.col("doc")))
     tf = F.size("positions").cast("double")
     weight = (tf * (SATURATION + 1.0)) / (tf + SATURATION * ((1.0 - LENGTH) + LENGTH * (F.col("len").cast("double") / average)))
     postings = stored(grouped.select("term", "block", "doc", F.size("positions").cast("long").alias("tf"), weight.alias("weight"), "positions"), "postings")

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.session import ship
+from palimpsest.session import BATCH_BYTES, BATCH_ROWS, small_batches  # noqa: F401 - the operators' name for it
 
 #: Used only where the session names no shared folder and runs in one process, as in tests.
 DEFAULT_SHARED = "/tmp/checkpoints"
@@ -45,16 +45,3 @@ def forget(spark: SparkSession) -> None:
     """Delete this application's intermediate tables. Results that are still lazy read them, so write those first."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-#: What one Arrow batch to a Python worker may hold; the same for all operators, as plans of one session run later than
-#: they are made. Operators that hold more than a few times a batch regroup rows by bytes themselves.
-BATCH_ROWS, BATCH_BYTES = 1000, 1 << 22
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Make the session ready for Python workers: they get this package's code, and Arrow batches are bounded by rows and
-    by bytes, so that long texts stay within a worker's memory."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -81,23 +81,38 @@ def _signatures(strings: DataFrame, ratio: float) -> DataFrame:
     return rare.unionByName(strings.filter("s = ''").select("s", F.lit("empty").alias("token")))
 
 
+def strings_of(rows: DataFrame, name: str, tokens: DataFrame) -> DataFrame:
+    """(name, token, n, odd): the tokens of a column's distinct strings."""
+    return rows.select(name).distinct().join(tokens.withColumnRenamed("s", name), name)
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, group: str, ratio: float) -> DataFrame:
     """(group, a, b, score): pairs of a string of ``left`` (group, a) and one of ``right`` (group, b) of the same group whose
     ratio of matching blocks, a first, is at least ``ratio`` (over 0); every pair once, nulls never.
 
-    Only strings that share a rare token meet, so a group of many strings is spread over its tokens."""
-    left, right = (df.select(group, c).filter(F.col(c).isNotNull()).distinct() for df, c in ((left, "a"), (right, "b")))
+    Only strings that share a rare token meet, so a group of many strings is spread over its tokens. If all strings together
+    meet in fewer ways than there are rows in ``left``, they are compared without the groups, which are joined to the pairs."""
+    # written, as several steps read them
+    left, right = (written(df.select(group, c).filter(F.col(c).isNotNull()).distinct(), "similar-strings") for df, c in ((left, "a"), (right, "b")))
     strings = left.select(F.col("a").alias("s")).union(right.select(F.col("b").alias("s"))).distinct()
     tokens = written(_signatures(strings, ratio), "similar-tokens")
     spelled = strings.select("s", _chars(F.col("s")).alias("chars")).select("s", F.size("chars").alias("n"), _parity(F.col("chars")).alias("odd"))
     tokens = tokens.join(spelled, "s")
-    a = left.join(tokens, F.col("a") == F.col("s")).select(group, "token", "a", F.col("n").alias("n1"), F.col("odd").alias("odd1"))
-    b = right.join(tokens, F.col("b") == F.col("s")).select(group, "token", "b", F.col("n").alias("n2"), F.col("odd").alias("odd2"))
+    a, b = strings_of(left, "a", tokens), strings_of(right, "b", tokens)
+    # few strings in many groups meet once for all groups, many strings only where a group has both: whichever meets less
+    number = F.count("*").cast("double")
+    ways = a.groupBy("token").agg(number.alias("x")).join(b.groupBy("token").agg(number.alias("y")), "token").agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0
+    apart = ways > left.count()
+    if apart:
+        a, b = left.join(a, "a"), right.join(b, "b")
+    a = a.select("token", "a", *([group] if apart else []), F.col("n").alias("n1"), F.col("odd").alias("odd1"))
+    b = b.select("token", "b", *([group] if apart else []), F.col("n").alias("n2"), F.col("odd").alias("odd2"))
     both = F.col("n1") + F.col("n2")
     need = F.ceil(both * F.lit(ratio / 2) - _EPS)
     # bits that differ are at most the characters that only one of the strings has
     fits = (F.least("n1", "n2") >= need) & (F.bit_count(F.col("odd1").bitwiseXOR(F.col("odd2"))) <= both - 2 * need)
-    met = written(a.join(b, [group, "token"]).filter(fits).select(group, "a", "b").distinct(), "similar-met")
+    on = [group, "token"] if apart else ["token"]
+    met = written(a.join(b, on).filter(fits).select(*on[:-1], "a", "b").distinct(), "similar-met")
     need = F.ceil((F.char_length("a") + F.char_length("b")) * F.lit(ratio / 2) - _EPS)
     pairs = met.select("a", "b").distinct()
     spelled = pairs.select("a", "b", need.alias("need"), _chars(F.col("a")).alias("x"), _chars(F.col("b")).alias("y"))
@@ -108,4 +123,6 @@ def similar_pairs(left: DataFrame, right: DataFrame, group: str, ratio: float) -
         return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
     compared = close.withColumn("score", score("a", "b")).filter(F.col("score") >= ratio)
-    return met.join(compared, ["a", "b"]).select(group, "a", "b", "score")
+    if apart:
+        return met.join(compared, ["a", "b"]).select(group, "a", "b", "score")
+    return left.join(written(compared, "similar-found"), "a").join(right, [group, "b"]).select(group, "a", "b", "score")

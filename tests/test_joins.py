@@ -90,3 +90,22 @@ def test_bounds():
             for m in range(similar.least_partner(n, ratio), 60):
                 assert m >= 1 and 2 * min(n, similar.least_partner(n, ratio)) >= ratio * (n + similar.least_partner(n, ratio)) - 1e-6
     assert similar.longest_short(0.82) == 2 and similar.longest_short(0.6) is None
+
+
+@pytest.mark.parametrize("groups", [1, 200])
+def test_few_strings_of_many_groups_are_compared_once(spark, groups, monkeypatch):
+    """Pairs are those of all groups by brute force; with many groups, what meets holds no row per group."""
+    keys = ["fact.location", "fact.loction", "fact.preference", "fact.prefeence", "event.meeting"]
+    left = spark.createDataFrame([(g, k) for g in range(groups) for k in keys[1::2]], "g long, a string")
+    right = spark.createDataFrame([(g, k) for g in range(groups) for k in keys if (g + len(k)) % 3], "g long, b string")
+    seen, keep = {}, similar.written
+
+    def noted(df, label):
+        seen[label] = keep(df, label)
+        return seen[label]
+
+    monkeypatch.setattr(similar, "written", noted)
+    got = sorted((r.g, r.a, r.b, r.score) for r in similar.similar_pairs(left, right, "g", 0.82).collect())
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    want = [(g, a, b, ratio(a, b)) for g in range(groups) for a in keys[1::2] for b in keys if (g + len(b)) % 3 and ratio(a, b) >= 0.82]
+    assert got == sorted(want) and got and seen["similar-met"].count() <= len(keys) ** 2

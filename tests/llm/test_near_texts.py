@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from palimpsest.llm import near_texts
@@ -112,3 +113,30 @@ def test_near_texts_of_an_empty_table_and_clashing_columns(spark):
     rows = [(1, "a b c d e f", "x", "y", "z", "w", "k"), (2, "A b c  d e f", *[None] * 5), (3, None, *[None] * 5), (4, " ", *[None] * 5)]
     found = near_texts.near_texts(spark.createDataFrame(rows, names)).collect()
     assert sorted((r.doc_id, r.component_id) for r in found) == [(1, 1), (2, 1), (3, 3), (4, 3)]
+
+
+def test_candidates_come_from_simhash_words():
+    """Words are majorities of bits of each shingle's hashes; pairs at 0.8 are candidates by a segment and the next word."""
+    rnd = np.random.default_rng(5)
+    for size in (0, 3, 4, 8, 9, 255, 256, 700):
+        hashes = rnd.integers(0, 1 << 63, size, np.uint64)
+        words = near_texts.simhashes(hashes)
+        assert len(words) == (0 if size < 4 else 64 if size <= 8 else 32)
+        if size > 3:
+            alone = [[int(w) for w in near_texts.simhashes(np.repeat(h, size))] for h in hashes]
+            for t in (0, 17, 31):
+                assert int(words[t]) == sum(1 << b for b in range(64) if 2 * sum(w[t] >> b & 1 for w in alone) > size)
+    for common, left, right in ((4, 0, 1), (8, 1, 1), (80, 10, 10), (320, 0, 80)):
+        for _ in range(100):
+            h = rnd.integers(0, 1 << 63, common + left + right, np.uint64)
+            a, b = near_texts.simhashes(h[: common + left]), near_texts.simhashes(np.r_[h[:common], h[common + left :]])
+            rings = [(a[t] ^ b[t], a[t - t % 32 + (t + 1) % 32] ^ b[t - t % 32 + (t + 1) % 32]) for t in range(min(len(a), len(b)))]
+            assert any(int(y).bit_count() <= 16 and any(int(x) >> s & 0xFFFF == 0 for s in (0, 16, 32, 48)) for x, y in rings)
+
+
+def test_a_bucket_is_left_by_its_candidates_only():
+    """Texts that agree in a segment but not in the next word, or whose sizes rule 0.8 out, are in no pair."""
+    bucket, words = 7 << near_texts.WIDTH << near_texts.SIZE_BITS, [0, 0xFFFF, 0x1FFFF, -1, -1]
+    batch = pa.record_batch([pa.array([bucket | n for n in (80, 90, 90, 100, 126)]), pa.array([1, 2, 3, 4, 5]), pa.array(words)], names=["key", "cls", "word"])
+    rows = [r for out in near_texts._bucket_batches(iter([batch.slice(0, 2), batch.slice(2)])) for r in zip(*out.to_pydict().values(), strict=True)]
+    assert rows == [(1, 2), (3, 3)]
